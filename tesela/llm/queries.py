@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions.timestamps import normalise_timestamp
+from tesela.llm import mixing, packing, reading
 from tesela.llm import survivors as surv
-from tesela.session import table
+from tesela.llm.tokens import n_tokens
+from tesela.session import stage_table, table
 
 #: Fields that survive, per table.
 PLACE_FIELDS = ("contract_title", "total_amount", "award_date", "winning_party_name")
@@ -71,5 +73,41 @@ def p1_voted(spark: SparkSession, sf: str) -> DataFrame:
     return _survivors(spark, sf, "votes").select("source_table", "group_id", "field_name", "value", "n_rows")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_voted)}
+def sized_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, source, n_tokens of every document, counted once and kept in the shared folder."""
+    docs = table(spark, sf, "documents")
+    return stage_table(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")), "sized")
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(sized_documents(spark, sf), table(spark, sf, "pack_sizes"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    capacities = table(spark, sf, "pack_sizes")
+    return packing.fill(packing.pack(sized_documents(spark, sf), capacities), capacities)
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(sized_documents(spark, sf), table(spark, sf, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    targets = table(spark, sf, "source_targets")
+    return mixing.shares(mixing.mix(sized_documents(spark, sf), targets), targets)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    feats = reading.features(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+    return reading.levels(feats, reading.fit(feats), least_words=20).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    feats = reading.features(docs, table(spark, sf, "reading_labels"))
+    by = reading.levels(feats, reading.fit(feats)).join(docs.select("doc_id", "source", "n_chars"), "doc_id")
+    return by.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_voted, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_profile)}
 SQL: dict[str, str] = {}
