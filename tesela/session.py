@@ -67,3 +67,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def has_rows_over(df: DataFrame, bound: int) -> bool:
     """True if df has more than bound rows; reads no more than it needs."""
     return df.limit(bound + 1).count() > bound
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, which need not have it installed; once per application."""
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tesela-")) / "tesela.zip"  # on the driver; Spark serves it to the executors
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
