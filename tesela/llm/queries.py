@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesela.functions.timestamps import normalise_timestamp
-from tesela.llm import mixing, packing, reading
+from tesela.llm import award_pairs, mixing, packing, reading
 from tesela.llm import survivors as surv
 from tesela.llm.tokens import n_tokens
 from tesela.session import stage_table, table
@@ -73,6 +73,14 @@ def p1_voted(spark: SparkSession, sf: str) -> DataFrame:
     return _survivors(spark, sf, "votes").select("source_table", "group_id", "field_name", "value", "n_rows")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return award_pairs.matched(spark, sf).select("record_id_a", "record_id_b")
+
+
+def p5_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return award_pairs.matched(spark, sf)
+
+
 def sized_documents(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, source, n_tokens of every document, counted once and kept in the shared folder."""
     docs = table(spark, sf, "documents")
@@ -109,5 +117,5 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return by.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_voted, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_voted, p5_found, p5_confidence, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_profile)}
 SQL: dict[str, str] = {}
