@@ -98,7 +98,7 @@ def modularity(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.agg(F.bround(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)), 10).alias("modularity"))
 
 
-def communities(pairs: DataFrame, rounds: int = 8, levels: int = 3) -> DataFrame:
+def communities(pairs: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame:
     """node_id and community by distributed local moving over several levels.
 
     In each round half of the nodes (by a hash that changes each round) move to the neighbouring community with
@@ -135,8 +135,9 @@ def _local_moving(edges: DataFrame, m2: int, rounds: int, salt: int) -> tuple[Da
         goes = (F.pmod(F.xxhash64("u", F.lit(salt + i)), F.lit(2)) == 0) & (F.col("best") != F.col("own"))
         new = cut(best.select(F.col("u").alias("node_id"), F.when(goes, F.col("best")).otherwise(F.col("own")).alias("community"), goes.alias("moved"), (F.col("best") != F.col("own")).alias("wants")))
         groups = new.select("node_id", "community")
-        moved = moved or new.where("moved").limit(1).count() > 0
-        if not new.where("wants").limit(1).count():
+        state = new.agg(F.bool_or("moved").alias("moved"), F.bool_or("wants").alias("wants")).collect()[0]
+        moved = moved or bool(state["moved"])
+        if not state["wants"]:
             break
     return groups, moved
 
@@ -162,7 +163,7 @@ def betweenness(pairs: DataFrame, pivots: int = 16, seed: int = 42, rounds: int
         if not front.limit(1).count():
             break
         levels.append(front)
-        seen = cut(seen.unionByName(front.select("p", "node")))
+        seen = seen.unionByName(front.select("p", "node"))
     delta = levels[-1].select("p", "node", "sigma", F.lit(0.0).alias("delta"))
     parts = []
     for upper in reversed(levels[:-1]):

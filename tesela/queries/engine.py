@@ -218,7 +218,7 @@ def agg_value_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""with x as (select upper(trim(buyer_name)) as buyer, upper(trim(supplier_name)) as supplier, count(*) as pair_count, sum(cast(round(awarded_value_eur * 100) as bigint)) as c from contracts where trim(buyer_name) <> '' and trim(supplier_name) <> '' group by 1, 2),
-y as (select *, sum(c) over (partition by buyer) as t from x) select buyer, supplier, pair_count, c / 100.0 as pair_amount, t / 100.0 as buyer_total, round_even(c / nullif(t, 0), 6) as pair_share from y""")
+y as (select *, sum(c) over (partition by buyer) as t from x) select buyer, supplier, pair_count, c / 100.0 as pair_amount, t / 100.0 as buyer_total, round_even(c / nullif(t, 0), 6) + 0.0 as pair_share from y""")
 def agg_pair_context(spark: SparkSession, sf: str) -> DataFrame:
     return A.pair_context(contracts(spark, sf))
 
@@ -287,7 +287,8 @@ def _awards(spark: SparkSession, sf: str) -> DataFrame:
     return G.simple(table(spark, sf, "graph_edges").where("edge_type = 'AWARDED_TO'"))
 
 
-@query()
+@query("""with recursive p as (select distinct source_node_id as a, target_node_id as b from graph_edges where edge_type = 'AWARDED_TO' and source_node_id <> target_node_id), e as (select a as u, b as v from p union select b, a from p),
+reach as (select u as n, u as r from e union select reach.n, e.v from reach join e on reach.r = e.u) select n as node_id, min(r) as component from reach group by 1""")
 def gra_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of the award relation (contract to supplier)."""
     return G.components(_awards(spark, sf))
