@@ -142,8 +142,8 @@ def _local_moving(edges: DataFrame, m2: int, rounds: int, salt: int) -> tuple[Da
     return groups, moved
 
 
-def betweenness(pairs: DataFrame, pivots: int = 16, seed: int = 42, rounds: int = 64) -> DataFrame:
-    """node_id and betweenness from the shortest paths of ``pivots`` nodes (all nodes where there are no more), normalised.
+def betweenness(pairs: DataFrame, pivots: int = 500, seed: int = 42, exact: int = 1000) -> DataFrame:
+    """node_id and betweenness from the shortest paths of ``pivots`` nodes (of all nodes up to ``exact``), normalised.
 
     Breadth first for all pivots together, level by level, then dependencies back up the levels. Rows number
     pivots times nodes; no adjacency list is sent anywhere.
@@ -151,13 +151,14 @@ def betweenness(pairs: DataFrame, pivots: int = 16, seed: int = 42, rounds: int
     edges = cut(both_ways(pairs).distinct())
     nodes = edges.select(F.col("u").alias("node")).distinct()
     n = nodes.count()
+    pivots = max(pivots, n) if n <= exact else pivots
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(pivots)
     k = min(pivots, n)
     if n < 3:
         return nodes.select(F.col("node").alias("node_id"), F.lit(0.0).alias("betweenness"))
     levels = [cut(chosen.select(F.col("node").alias("p"), "node", F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("p", "node")
-    for _ in range(rounds):
+    while True:
         front = levels[-1].join(edges, F.col("node") == F.col("u")).groupBy("p", F.col("v").alias("node")).agg(F.sum("sigma").alias("sigma"))
         front = cut(front.join(seen, ["p", "node"], "left_anti"))
         if not front.limit(1).count():

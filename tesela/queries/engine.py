@@ -312,8 +312,7 @@ def gra_modularity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gra_betweenness(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "graph_edges").where("edge_type in ('PUBLISHED', 'AWARDED_TO')")
-    return G.betweenness(G.simple(edges), pivots=4)
+    return G.betweenness(G.simple(table(spark, sf, "graph_edges")))
 
 
 @query("""with b as (select target_node_id as contract, min(source_node_id) as buyer from graph_edges where edge_type = 'PUBLISHED' group by 1), o as (select source_node_id as contract, min(target_node_id) filter (edge_type = 'AWARDED_TO') as supplier, count(distinct target_node_id) filter (edge_type = 'HAS_CPV') as cpv_count from graph_edges where edge_type <> 'PUBLISHED' group by 1),

@@ -71,6 +71,13 @@ def test_betweenness(spark):
     assert all(abs(got[v] - score[v] / ((n - 1) * (n - 2))) < 1e-6 for v in near)
 
 
+def test_betweenness_is_exact_up_to_the_limit(spark):
+    n = 9
+    path = frame(spark, [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(n - 1)])
+    got = {r.node_id: r.betweenness for r in G.betweenness(path, pivots=4).collect()}
+    assert all(abs(got[f"c{i:03d}"] - 2 * i * (n - 1 - i) / ((n - 1) * (n - 2))) < 1e-6 for i in range(n))
+
+
 def test_communities_find_two_cliques(spark):
     pairs = [*itertools.combinations([f"a{i}" for i in range(6)], 2), *itertools.combinations([f"b{i}" for i in range(6)], 2), ("a0", "b0")]
     df = frame(spark, [tuple(sorted(p)) for p in pairs])
