@@ -294,6 +294,12 @@ def gra_components(spark: SparkSession, sf: str) -> DataFrame:
     return G.components(_awards(spark, sf))
 
 
+@query()
+def gra_components_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the graph of all edges."""
+    return G.components(G.simple(table(spark, sf, "graph_edges")))
+
+
 @query()
 def gra_communities(spark: SparkSession, sf: str) -> DataFrame:
     edges = table(spark, sf, "graph_edges").where("edge_type in ('PUBLISHED', 'AWARDED_TO')")

@@ -92,3 +92,11 @@ def test_construction(spark):
     edges = {r.edge_id: r.source_record_id for r in G.build_edges(df).collect()}
     assert edges == {"FROM_SOURCE:contract:C_1->source:BOE:C-1": "r1", "PUBLISHED:buyer:B1->contract:C_1:C-1": "r1", "AWARDED_TO:contract:C_1->supplier:NORTE:C-1": "r1", "HAS_CPV:contract:C_1->cpv:71300000:C-1": "r1", "HAS_CPV:contract:C_1->cpv:45:C-1": "r1", "FROM_SOURCE:contract:C_2->source:BOE:C-2": "r2"}
     assert G.build_edges(df.limit(0)).count() == 0
+
+
+def test_components_of_all_edges_hold_all_nodes(spark, tiny):
+    from tesela.queries import engine
+    from tesela.session import table
+
+    n = G.nodes_of(table(spark, tiny, "graph_edges")).count()
+    assert engine.gra_components_all(spark, tiny).count() == n
