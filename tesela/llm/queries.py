@@ -37,6 +37,11 @@ def _filled(df: DataFrame, names: tuple[str, ...]) -> dict[str, Column]:
     return out
 
 
+def _second(name: str) -> Column:
+    """Second of the instant that a text denotes (fractions dropped, as in its normal form), or null."""
+    return F.floor(normalise_timestamp(F.col(name))["instant_us"] / 1_000_000)
+
+
 def place_versions(spark: SparkSession, sf: str) -> DataFrame:
     """place_records with __group (folder and buyer) and __newest."""
     t = table(spark, sf, "place_records").select("record_id", "contract_folder_id", "buyer_dir3", "buyer_nif", "atom_updated", *PLACE_FIELDS)
@@ -47,7 +52,7 @@ def place_versions(spark: SparkSession, sf: str) -> DataFrame:
     folder = F.lower(F.regexp_replace("contract_folder_id", r"[^\p{L}\p{N}]", ""))
     buyer = F.coalesce(filled_text(F.trim("buyer_dir3")), F.col("__dir3"))
     key = F.when((folder != "") & filled_text(F.col("contract_folder_id")).isNotNull() & buyer.isNotNull(), F.concat_ws("|", folder, F.upper(buyer)))
-    return t.withColumn("__group", key).withColumn("__newest", normalise_timestamp(F.col("atom_updated"))["instant_us"]).withColumn("__day", normalise_timestamp(F.col("award_date"))["kind"])
+    return t.withColumn("__group", key).withColumn("__newest", _second("atom_updated")).withColumn("__day", normalise_timestamp(F.col("award_date"))["kind"])
 
 
 def opentender_versions(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,7 +60,7 @@ def opentender_versions(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "opentender_records").select("record_id", "source_record_id", "updated", *OPENTENDER_FIELDS)
     key = F.lower(F.trim("source_record_id"))
     key = F.when(filled_text(F.col("source_record_id")).isNotNull(), key)
-    return t.withColumn("__group", key).withColumn("__newest", normalise_timestamp(F.col("updated"))["instant_us"]).withColumn("__day", normalise_timestamp(F.col("award_date"))["kind"])
+    return t.withColumn("__group", key).withColumn("__newest", _second("updated")).withColumn("__day", normalise_timestamp(F.col("award_date"))["kind"])
 
 
 def _survivors(spark: SparkSession, sf: str, weighting: str) -> DataFrame:
