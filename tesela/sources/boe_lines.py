@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesela.session import stage_table
+
 #: Slots of a line, in order.
 SLOTS = ("institution", "buyer_name", "file_number", "date", "record_type", "contract_nature", "object", "procedure", "region", "cpv_subjects", "cpv_codes_raw", "estimated_value_raw", "awarded_value_raw", "supplier_name", "source_url")
 QUOTING, FIELD_COUNT, VALUE = "quoting", "field_count", "value"
@@ -79,14 +81,28 @@ def _capitals(x: str) -> bool:
     return any(c.isalpha() for c in x) and x == x.upper()
 
 
+def _doubled(fields: list[str]) -> list[str]:
+    """Fields with doubled commas inside a text put together: an empty field before one that begins with a blank."""
+    if "" not in fields:
+        return fields
+    out: list[str] = []
+    for i, f in enumerate(fields):
+        if out and (f == "" and i + 1 < len(fields) and fields[i + 1].startswith(" ") and fields[i + 1].strip() or i > 1 and fields[i - 1] == "" and f.startswith(" ") and f.strip()):
+            out[-1] += "," + f
+        else:
+            out.append(f)
+    return out
+
+
 def repair(fields: list[str]) -> list[str] | None:
     """Fields joined again to 15 where unquoted commas inside slots are the only cause.
 
-    A field that begins with a blank continues the one before it. The institution is in capitals, so the
+    A field that begins with a blank continues the one before it, also past a doubled comma. The institution is in capitals, so the
     first field that is not is the buyer; from the right, the address, the supplier, two amounts (cut at the
     decimal comma or not), the codes, the subject, one region and one procedure are taken, and the object is
     what remains.
     """
+    fields = _doubled(fields)
     n = len(fields)
     k = 1
     while k < n and (fields[k].startswith(" ") or _capitals(fields[k])):
@@ -213,5 +229,6 @@ def rejected(lines: DataFrame, loaded: DataFrame) -> DataFrame:
     def reason(s: pd.Series) -> pd.Series:
         return s.map(reason_of, na_action=None)
 
-    rest = lines.select("line_id", "line").join(loaded.select("line_id"), "line_id", "left_anti")
-    return rest.select("line_id", reason("line").alias("reason"))
+    # only offsets meet in the anti-join; the texts of the few that remain are fetched afterwards
+    rest = stage_table(lines.select("line_id").join(loaded.select("line_id"), "line_id", "left_anti"), "rejected")
+    return lines.select("line_id", "line").join(rest.distinct(), "line_id").select("line_id", reason("line").alias("reason"))

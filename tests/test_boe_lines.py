@@ -43,6 +43,11 @@ def test_reasons(text, reason):
     assert conforming(text) is None and reason_of(text) == reason
 
 
+def test_doubled_commas_inside_a_text():
+    got = conforming(",".join(["LOCAL", *GOOD[1:6], "Plan del puente,, por trámite ordinario", *GOOD[7:9], "obras", "71500830", "1.234,56 euros", "No disponible", "Norte, S.L.", GOOD[14]]))
+    assert got is not None and got[0][6] == "Plan del puente,, por trámite ordinario" and got[0][13] == "Norte, S.L." and got[1] == 19
+
+
 def test_split_matches_the_csv_module():
     rng = random.Random(3)
     for _ in range(300):
