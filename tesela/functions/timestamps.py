@@ -24,7 +24,10 @@ from pyspark.sql import functions as F
 HOME_ZONE = "Europe/Madrid"
 #: Zones whose names may stand in a text, as tables.
 ZONES = (HOME_ZONE, "Atlantic/Canary", "UTC")
-FIRST_YEAR, LAST_YEAR = 1970, 2037
+#: Years of the tables. Later ones are read one or more cycles of the calendar (400 years) earlier, which have the same weekdays.
+FIRST_YEAR, LAST_YEAR = 1900, 2437
+CYCLE = 146_097 * 86_400
+#: No layout, with the longest zone name, has as many characters.
 LONGEST = 64
 EPOCH = dt.date(1970, 1, 1)
 
@@ -87,6 +90,9 @@ def zone_tables() -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 def from_wall(wall: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Wall-clock seconds to UTC seconds, and 0 where there is one instant, 1 where two, 2 where none."""
+    end = int(dt.datetime(LAST_YEAR, 1, 1, tzinfo=dt.UTC).timestamp())
+    cycles = np.where(wall >= end, (wall - end) // CYCLE + 1, 0) * CYCLE
+    wall = wall - cycles
     fits, utc = np.zeros(len(wall), dtype=np.int64), np.zeros(len(wall), dtype=np.int64)
     seen: list[np.ndarray] = []
     near = np.searchsorted(at, wall)
@@ -99,7 +105,7 @@ def from_wall(wall: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> tuple[np
         seen.append(i)
         fits += ok
         utc = np.where(ok & (fits == 1), t, utc)
-    return utc, np.where(fits == 1, 0, np.where(fits > 1, 1, 2))
+    return utc + cycles, np.where(fits == 1, 0, np.where(fits > 1, 1, 2))
 
 
 @dataclass(frozen=True)

@@ -47,8 +47,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     for name, columns in DATED.items():
         t = table(spark, sf, name).select("record_id", *columns)
         for c in columns:
-            part = t.where(F.trim(c) != "").select(F.lit(name).alias("source_table"), "record_id", F.lit(c).alias("field_name"), F.col(c).alias("__text"), normalise_timestamp(F.col(c))["normal"].alias("normal_form"))
-            part = part.where(F.col("normal_form") != F.col("__text")).drop("__text")
+            # a generator keeps the filter above the conversion, which so runs once for each text
+            part = t.where(F.trim(c) != "").select("record_id", F.col(c).alias("__text"), F.explode(F.array(normalise_timestamp(F.col(c))["normal"])).alias("normal_form"))
+            part = part.where(F.col("normal_form") != F.col("__text")).select(F.lit(name).alias("source_table"), "record_id", F.lit(c).alias("field_name"), "normal_form")
             out = part if out is None else out.unionByName(part)
     return out
 

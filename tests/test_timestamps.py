@@ -55,3 +55,8 @@ def test_column_with_nulls_empty_and_clashes(spark):
     rows = df.select("id", normalise_timestamp(F.col("normal")).alias("t")).orderBy("id").collect()
     assert [r.t.normal for r in rows] == ["2021-01-01", None, None, None]
     assert df.limit(0).select(normalise_timestamp(F.col("normal"))).count() == 0
+
+
+def test_years_beyond_the_tables():
+    kind, normal, _, _ = parse_texts(["15/07/2500 12:00", "15/01/2500 12:00", "27/03/2438 02:30", "9999-07-01 00:00:00", "15/07/1905 12:00"], zone_tables())
+    assert normal[:2] == ["2500-07-15T10:00:00Z", "2500-01-15T11:00:00Z"] and normal[3] == "9999-06-30T22:00:00Z" and kind[4] == "instant"
