@@ -38,6 +38,11 @@ def p3_profile(spark: SparkSession, sf: str) -> DataFrame:
     return profile.load_profile(contracts, "load_id", ["awarded_value_eur", "supplier_id", "procedure"])
 
 
+def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    contracts = table(spark, sf, "contracts").select("load_id", "awarded_value_eur", "supplier_id", "procedure")
+    return profile.load_coverage(contracts, "load_id", ["awarded_value_eur", "supplier_id", "procedure"])
+
+
 def p3_medians(spark: SparkSession, sf: str) -> DataFrame:
     return profile.medians(table(spark, sf, "contracts"), "load_id", "awarded_value_eur")
 
@@ -78,7 +83,7 @@ def p7_edges(spark: SparkSession, sf: str) -> DataFrame:
     return skewed.per_key(table(spark, sf, "graph_edges"), "target_node_id", "contract_key_canon").select("key_value", "n_rows", "n_items")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_profile, p3_medians, p4_found, p6_found, p6_loaded, p7_found, p7_contracts, p7_edges)}
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_profile, p3_coverage, p3_medians, p4_found, p6_found, p6_loaded, p7_found, p7_contracts, p7_edges)}
 
 _MISSING = "({0} is null or lower(trim({0})) in ('', '-', 'n/d', 'no disponible'))"
 _WORDS = ", ".join(f"('{p}')" for p in PROCEDURES)
