@@ -55,7 +55,7 @@ def _chunks(chunk_rows: int):
             lengths = np.diff(np.append(starts, b.num_rows))
             pieces = []
             for i, (s, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-                room = chunk_rows - chunk[0] if i == 0 and begins else chunk_rows
+                room = (chunk_rows - chunk[0] if i == 0 and begins else 0) or chunk_rows  # a full chunk leaves none
                 pieces += [s, *range(s + room, s + n, chunk_rows)] if n > room else [s]
             starts = np.array(pieces)
             ends = np.append(starts[1:], b.num_rows) - 1

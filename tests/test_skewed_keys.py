@@ -24,7 +24,8 @@ def test_against_brute_force_with_a_hot_key(spark):
     assert got == {k: (n, len(s), c / 100 if f else None) for k, (n, s, c, f) in want.items()}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")  # chunks go on from batch to batch
     try:
-        assert {r.key_value: (r.n_rows, r.n_items, r.total) for r in per_key(df, "k", "i", "a", chunk_rows=97).collect()} == got
+        for rows_of_a_chunk in (1, 20, 40, 97):
+            assert {r.key_value: (r.n_rows, r.n_items, r.total) for r in per_key(df, "k", "i", "a", chunk_rows=rows_of_a_chunk).collect()} == got
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     states = numbered_states(key_states(df, "k", "i", "a", chunk_rows=97)).collect()
