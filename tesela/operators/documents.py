@@ -76,3 +76,100 @@ def evaluate_retrieval(cases: DataFrame) -> DataFrame:
     """precision and recall of retrieved against expected document ids, per case; null where nothing is expected or found."""
     both = F.size(F.array_intersect("expected", "retrieved"))
     return cases.select("case_id", F.bround(F.try_divide(both, F.nullif(F.size(F.array_distinct("retrieved")), F.lit(0))), 6).alias("precision"), F.bround(F.try_divide(both, F.nullif(F.size(F.array_distinct("expected")), F.lit(0))), 6).alias("recall"))
+
+
+def search_words(c: Column) -> Column:
+    """Distinct words of a question in small letters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+
+
+def case_hits(chunked: DataFrame, cases: DataFrame, k: int = 5) -> DataFrame:
+    """case_id, chunk_id, doc_id, rank, score: the k chunks of each case's contract that hold most of the words of its question.
+
+    chunked: doc_id, chunk_id, contract_key_canon, text. cases: case_id, contract_key_canon, question. Ties go to the smaller
+    chunk_id; chunks without any word and cases without words have no row. Contracts meet by their key, never all pairs.
+    """
+    asked = cases.select("case_id", "contract_key_canon", search_words(F.col("question")).alias("terms")).where("size(terms) > 0")
+    low = F.lower("text")
+    hits = F.size(F.filter("terms", lambda t: F.contains(low, t)))
+    rows = chunked.where(~T.blank(F.col("contract_key_canon"))).join(asked, "contract_key_canon").select("case_id", "doc_id", "chunk_id", (hits / F.size("terms")).alias("score")).where("score > 0")
+    # the best of parts first, so a contract with many chunks is not ordered in one task
+    parted = rows.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(64)))
+    order = [F.desc("score"), F.col("chunk_id")]
+    best = parted.withColumn("r", F.row_number().over(Window.partitionBy("case_id", "part").orderBy(*order))).where(F.col("r") <= k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where(F.col("rank") <= k).select("case_id", "chunk_id", "doc_id", "rank", "score")
+
+
+def with_fallback(first: DataFrame, second: DataFrame, cases: DataFrame) -> DataFrame:
+    """case_id, mode, chunk_id, rank, score: the hits of the first search, those of the second for cases without any, and a row of mode "none" for the rest."""
+    one = first.select("case_id", F.lit("vector").alias("mode"), "chunk_id", "rank", "score")
+    two = second.join(first.select("case_id").distinct(), "case_id", "left_anti").select("case_id", F.lit("keyword").alias("mode"), "chunk_id", "rank", "score")
+    found = one.unionByName(two)
+    none = cases.select("case_id").join(found.select("case_id").distinct(), "case_id", "left_anti").select("case_id", F.lit("none").alias("mode"), F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("double").alias("score"))
+    return found.unionByName(none)
+
+
+def citation(document: Column, chunk: Column, contract: Column) -> Column:
+    return F.concat(F.lit("document_id="), document.cast("string"), F.lit("; chunk_id="), chunk, F.lit("; contract_key_canon="), F.coalesce(contract, F.lit("")))
+
+
+def evidence(hits: DataFrame, chunked: DataFrame) -> DataFrame:
+    """case_id, n_hits, citations, excerpts: what each case rests on, in order of rank (a case has at most k hits)."""
+    rows = hits.join(chunked.select("chunk_id", "contract_key_canon", "text"), "chunk_id").select("case_id", F.struct("rank", citation(F.col("doc_id"), F.col("chunk_id"), F.col("contract_key_canon")).alias("c"), T.excerpt(F.col("text")).alias("e")).alias("x"))
+    by = rows.groupBy("case_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return by.select("case_id", F.size("xs").alias("n_hits"), F.array_join("xs.c", " | ").alias("citations"), F.array_join("xs.e", " | ").alias("excerpts"))
+
+
+def retrieval_metrics(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """case_id, evidence_count, precision_at_k, recall of every case with expected(case_id, doc_id) documents; precision is 0 where nothing was found."""
+    want = expected.distinct()
+    found = hits.select("case_id", "doc_id").join(want.withColumn("right", F.lit(1)), ["case_id", "doc_id"], "left")
+    got = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("evidence_count"), F.count("right").alias("relevant"), F.count_distinct(F.when(F.col("right").isNotNull(), F.col("doc_id"))).alias("right_docs"))
+    rows = want.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_expected")).join(got, "case_id", "left").na.fill(0, ["evidence_count", "relevant", "right_docs"])
+    return rows.select("case_id", "evidence_count", F.bround(F.coalesce(F.try_divide("relevant", "evidence_count"), F.lit(0.0)), 6).alias("precision_at_k"), F.bround(F.col("right_docs") / F.col("n_expected"), 6).alias("recall"))
+
+
+def retrieval_summary(metrics: DataFrame) -> DataFrame:
+    """One row: cases, share with evidence, mean precision and recall (nulls left out)."""
+    return metrics.agg(F.count(F.lit(1)).alias("cases"), F.bround(F.avg((F.col("evidence_count") > 0).cast("int")), 6).alias("evidence_ratio"), F.bround(F.avg("precision_at_k"), 6).alias("mean_precision"), F.bround(F.avg("recall"), 6).alias("mean_recall"))
+
+
+#: The sentence that ends every generated answer.
+BOUNDARY = "No se declara fraude."
+
+
+def cleaned_answer(c: Column, boundary: str = BOUNDARY) -> Column:
+    """What follows the thoughts of a model, blanks squeezed, with the boundary sentence where it lacks it."""
+    t = T.squeeze(F.when(F.contains(c, F.lit("</think>")), F.regexp_replace(c, r"(?s)^.*?</think>", "")).otherwise(c))
+    return F.when(F.contains(F.lower(t), F.lit(boundary.lower())), t).otherwise(F.trim(F.concat(t, F.lit(f" {boundary}"))))
+
+
+def unsafe(c: Column, safe: list[str], risky: list[str]) -> Column:
+    """Whether a text holds a risky phrase once the safe ones are taken out."""
+    t = functools.reduce(lambda x, p: F.replace(x, F.lit(p.lower()), F.lit(" ")), safe, F.lower(c))
+    return functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(p.lower())) for p in risky], F.lit(False))
+
+
+def embedded(texts: DataFrame, key: str, embed, dim: int, fallback=None) -> DataFrame:
+    """key, vector, model: vectors of a pluggable client, called once per Arrow batch; where it fails, those of the fallback.
+
+    embed: list of texts to list of vectors. Without a fallback a failure is raised; a wrong size of a vector always is.
+    """
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            said, model = b["text"].fillna("").tolist(), "model"
+            try:
+                vectors = embed(said)
+            except Exception:
+                if fallback is None:
+                    raise
+                vectors, model = fallback(said), "fallback"
+            if any(len(v) != dim for v in vectors):
+                raise ValueError(f"vectors must have {dim} numbers")
+            yield pd.DataFrame({key: b[key], "vector": [list(map(float, v)) for v in vectors], "model": model})
+
+    kind = dict(texts.dtypes)[key]
+    return texts.select(key, "text").mapInPandas(run, f"{key} {kind}, vector array<double>, model string")

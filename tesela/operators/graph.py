@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.functions import text as T
@@ -63,26 +63,35 @@ def degrees(pairs: DataFrame) -> DataFrame:
     return d.crossJoin(F.broadcast(n)).select("node_id", "neighbor_count", F.bround(F.try_divide("neighbor_count", F.col("n") - 1), 10).alias("degree_centrality"))
 
 
-def components(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """node_id and component (its smallest node), by large-star and small-star rounds.
+#: Parts in which the edges of a hub meet its minimum.
+SALTS = 8
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """node_id and component (its smallest node), by large-star and small-star rounds until nothing changes.
 
     Every round keeps the number of edges or lowers it, and stars are merged in a number of rounds that grows
-    with the logarithm of the graph; minima are merged before the shuffle, so a hub is no task of its own.
+    with the logarithm of the graph. Minima are merged before the shuffle. The edges of a hub meet its minimum
+    in parts: both sides are salted by the other end of the edge, so no task holds all edges of a hub.
     """
     edges = cut(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    state = None
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        spread = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+        large = both.where("v > u").withColumn("s", salt("v")).join(spread, ["u", "s"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        joined = down.join(least, "u")
+        joined = down.withColumn("s", salt("v")).join(least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s")), ["u", "s"])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        small = cut(small)
-        changed = small.exceptAll(edges).limit(1).count() + edges.exceptAll(small).limit(1).count()
-        edges = small
-        if not changed:
+        edges = cut(small)
+        # number of edges and an order-free checksum: the same once no edge has changed
+        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).collect()[0]
+        if now == state:
             break
+        state = now
     star = edges.groupBy(F.col("u").alias("node_id")).agg(F.min("v").alias("component"))
     every = both_ways(pairs).select(F.col("u").alias("node_id")).distinct()
     return every.join(star, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("component"))
@@ -98,18 +107,21 @@ def modularity(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return joined.agg(F.bround(F.sum(F.coalesce("l", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)), 10).alias("modularity"))
 
 
-def communities(pairs: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame:
+def communities(pairs: DataFrame, settled: float = 0.01) -> DataFrame:
     """node_id and community by distributed local moving over several levels.
 
     In each round half of the nodes (by a hash that changes each round) move to the neighbouring community with
-    the greatest gain in modularity; ties keep the own community. Then communities become the nodes of the next
-    level, their links weighted.
+    the greatest gain in modularity; ties keep the own community. A level ends once at most the share ``settled``
+    of its nodes wants to move. Then communities become the nodes of the next level, their links weighted, until
+    no community joins another.
     """
     edges = cut(both_ways(pairs).withColumn("w", F.lit(1)))
     m2 = max(1, edges.count())
     whole = edges.select(F.col("u").alias("node_id"), F.col("u").alias("community")).distinct()
-    for level in range(levels):
-        groups, moved = _local_moving(edges, m2, rounds, 100 * level)
+    level = 0
+    while True:
+        groups, moved = _local_moving(edges, m2, settled, 1000 * level)
+        level += 1
         whole = cut(whole.join(groups.select(F.col("node_id").alias("community"), F.col("community").alias("next")), "community").select("node_id", F.col("next").alias("community")))
         if not moved:
             break
@@ -118,11 +130,12 @@ def communities(pairs: DataFrame, rounds: int = 6, levels: int = 2) -> DataFrame
     return whole
 
 
-def _local_moving(edges: DataFrame, m2: int, rounds: int, salt: int) -> tuple[DataFrame, bool]:
+def _local_moving(edges: DataFrame, m2: int, settled: float, salt: int) -> tuple[DataFrame, bool]:
     degree = cut(edges.groupBy("u").agg(F.sum("w").alias("k")))
     groups = degree.select(F.col("u").alias("node_id"), F.col("u").alias("community"))
-    moved = False
-    for i in range(rounds):
+    moved, i, fewest = False, 0, None
+    while True:
+        i += 1
         total = groups.join(degree, groups["node_id"] == degree["u"]).groupBy("community").agg(F.sum("k").alias("tot"))
         near = edges.where("u <> v").join(groups, F.col("v") == F.col("node_id")).groupBy("u", "community").agg(F.sum("w").alias("links"))
         own = groups.select(F.col("node_id").alias("u"), F.col("community").alias("own"))
@@ -135,10 +148,12 @@ def _local_moving(edges: DataFrame, m2: int, rounds: int, salt: int) -> tuple[Da
         goes = (F.pmod(F.xxhash64("u", F.lit(salt + i)), F.lit(2)) == 0) & (F.col("best") != F.col("own"))
         new = cut(best.select(F.col("u").alias("node_id"), F.when(goes, F.col("best")).otherwise(F.col("own")).alias("community"), goes.alias("moved"), (F.col("best") != F.col("own")).alias("wants")))
         groups = new.select("node_id", "community")
-        state = new.agg(F.bool_or("moved").alias("moved"), F.bool_or("wants").alias("wants")).collect()[0]
+        state = new.agg(F.count(F.lit(1)).alias("n"), F.count_if("moved").alias("moved"), F.count_if("wants").alias("wants")).collect()[0]
         moved = moved or bool(state["moved"])
-        if not state["wants"]:
+        # nodes that trade places for ever are settled once they get no fewer over two rounds
+        if state["wants"] <= settled * state["n"] or (fewest is not None and i > 3 and state["wants"] >= fewest[-2:][0]):
             break
+        fewest = [*(fewest or []), state["wants"]]
     return groups, moved
 
 
@@ -206,3 +221,118 @@ def top_entities(edges: DataFrame, edge_type: str, limit: int = 10) -> DataFrame
     """The buyers (PUBLISHED) or suppliers (AWARDED_TO) with most contracts; ties by name."""
     who, what = ("source_node_id", "target_node_id") if edge_type == "PUBLISHED" else ("target_node_id", "source_node_id")
     return edges.where(F.col("edge_type") == edge_type).groupBy(F.col(who).alias("node_id")).agg(F.count_distinct(what).alias("contracts")).orderBy(F.desc("contracts"), "node_id").limit(limit)
+
+
+NODE_TYPES = {"contract": "Contract", "source": "Source", "buyer": "Buyer", "supplier": "Supplier", "cpv": "CPV"}
+
+
+def build_nodes(contracts: DataFrame) -> DataFrame:
+    """node_id, node_type, label and attributes (map of texts) of every node that build_edges connects; the row of smallest row_id names it.
+
+    Rows without key or source give no node. Attributes: of contracts key, source, record id and title, of buyers and suppliers their id.
+    """
+    some = contracts.where(~T.blank(F.col("contract_key_canon")) & ~T.blank(F.col("source")))
+    buyer, supplier = _entity(F.col("buyer_id"), F.col("buyer_name")), _entity(F.col("supplier_id"), F.col("supplier_name"))
+    text = lambda c: T.or_null(F.col(c))
+
+    def attributes(**named: Column) -> Column:
+        return F.map_filter(F.create_map(*[x for k, v in named.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+
+    def node(kind: str, key: Column, label: Column, extra: Column) -> Column:
+        node_id = F.concat(F.lit(f"{kind}:"), key)
+        return F.when(key.isNotNull(), F.struct(node_id.alias("node_id"), F.lit(NODE_TYPES[kind]).alias("node_type"), F.coalesce(label, node_id).alias("label"), extra.alias("attributes")))
+
+    none = F.create_map().cast("map<string,string>")
+    codes = F.transform(F.coalesce(_cpv(F.col("cpv_codes_raw")), F.array().cast("array<string>")), lambda x: node("cpv", x, x, none))
+    fixed = F.array(
+        node("contract", T.stable_key(F.col("contract_key_canon")), text("contract_key_canon"), attributes(contract_key_canon=text("contract_key_canon"), source=text("source"), source_record_id=text("source_record_id"), contract_title=text("contract_title"))),
+        node("source", T.stable_key(F.col("source")), text("source"), none),
+        node("buyer", buyer, text("buyer_name"), attributes(buyer_id=text("buyer_id"))),
+        node("supplier", supplier, text("supplier_name"), attributes(supplier_id=text("supplier_id"))),
+    )
+    rows = some.select("row_id", F.explode(F.array_compact(F.concat(fixed, codes))).alias("n"))
+    # the order of the first row and its texts; maps can't be compared, so their JSON is
+    first = F.min(F.struct("row_id", F.col("n.label").alias("label"), F.to_json("n.attributes").alias("json"))).alias("m")
+    out = rows.groupBy(F.col("n.node_id").alias("node_id"), F.col("n.node_type").alias("node_type")).agg(first)
+    return out.select("node_id", "node_type", F.col("m.label").alias("label"), F.from_json("m.json", "map<string,string>").alias("attributes"))
+
+
+def sized_groups(groups: DataFrame, group: str) -> DataFrame:
+    """node_id, group_id, group_size: groups numbered from 0 by falling size, ties by their smallest node.
+
+    The groups are numbered by a range sort and prefix sums over its partitions, so no task holds all of them.
+    """
+    by = groups.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"), F.min("node_id").alias("least"))
+    laid = cut(by.repartitionByRange(F.col("group_size").desc(), "least").sortWithinPartitions(F.desc("group_size"), "least").select("*", F.spark_partition_id().alias("part")).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = laid.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
+    numbered = laid.join(before, "part").select(group, (F.col("at") + F.col("before")).alias("group_id"), "group_size")
+    return groups.join(numbered, group).select("node_id", "group_id", "group_size")
+
+
+def community_table(pairs: DataFrame, communities: DataFrame, components_: DataFrame) -> DataFrame:
+    """Per community: its first component, components, nodes by type and edges inside. communities: node_id, community_id; components_: node_id, component_id."""
+    kind = F.split_part("node_id", F.lit(":"), F.lit(1))
+    nodes = communities.join(components_, "node_id", "left").groupBy("community_id").agg(
+        F.min("component_id").alias("component_id"), F.count_distinct("component_id").alias("component_count"), F.count(F.lit(1)).alias("node_count"), *[F.count_if(kind == k).alias(f"{k}_count") for k in ("contract", "buyer", "supplier", "cpv", "source")]
+    )
+    a, b = communities.select(F.col("node_id").alias("a"), F.col("community_id").alias("ca")), communities.select(F.col("node_id").alias("b"), F.col("community_id").alias("cb"))
+    inside = pairs.join(a, "a").join(b, "b").where("ca = cb").groupBy(F.col("ca").alias("community_id")).agg(F.count(F.lit(1)).alias("internal_edge_count"))
+    return nodes.join(inside, "community_id", "left").withColumn("internal_edge_count", F.coalesce("internal_edge_count", F.lit(0)))
+
+
+def largest_groups(table_: DataFrame) -> DataFrame:
+    """One row: number of groups and the most nodes and most contracts of one."""
+    return table_.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.max("node_count"), F.lit(0)).alias("most_nodes"), F.coalesce(F.max("contract_count"), F.lit(0)).alias("most_contracts"))
+
+
+def traversal(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """contract, buyer, supplier and their labels: the two steps from buyer to contract to supplier; contracts without either are left out."""
+    a = edges.where("edge_type = 'PUBLISHED'").select(F.col("target_node_id").alias("contract"), F.col("source_node_id").alias("buyer")).distinct()
+    b = edges.where("edge_type = 'AWARDED_TO'").select(F.col("source_node_id").alias("contract"), F.col("target_node_id").alias("supplier")).distinct()
+    label = lambda c: nodes.select(F.col("node_id").alias(c), F.col("label").alias(f"{c}_label"))
+    return a.join(b, "contract").join(label("contract"), "contract", "left").join(label("buyer"), "buyer", "left").join(label("supplier"), "supplier", "left").select("contract", "contract_label", "buyer", "buyer_label", "supplier", "supplier_label")
+
+
+def feature_table(edges: DataFrame, nodes: DataFrame, entity: DataFrame, version: str, generated_at: str) -> DataFrame:
+    """The 25 features of every contract node.
+
+    nodes: build_nodes(). entity: node_id, neighbor_count, degree_centrality, betweenness_centrality, component_id,
+    component_size, community_id, community_size; nodes it lacks get 0 as contracts and null as buyers and suppliers.
+    """
+    relations = contract_features(edges)
+    own = nodes.where("node_type = 'Contract'").select(F.col("node_id").alias("contract"), F.col("attributes.contract_key_canon").alias("contract_key_canon"), F.col("attributes.source").alias("source"), F.col("attributes.source_record_id").alias("source_record_id"))
+
+    def of(name: str, prefix: str, *columns: str) -> DataFrame:
+        return entity.select(F.col("node_id").alias(name), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+
+    measures = ("neighbor_count", "degree_centrality", "betweenness_centrality")
+    rows = own.join(relations, "contract", "left").join(of("contract", "contract_", *measures, "component_id", "component_size", "community_id", "community_size"), "contract", "left").join(of("buyer", "buyer_", *measures), "buyer", "left").join(of("supplier", "supplier_", *measures), "supplier", "left")
+    zero = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
+    return rows.select(
+        "contract_key_canon", "source", "source_record_id", F.coalesce("recurrence", F.lit(0)).alias("buyer_supplier_recurrence"), F.coalesce("share", F.lit(0.0)).alias("buyer_supplier_contract_share"), "buyer_degree", "supplier_degree", F.col("supplier_contracts").alias("supplier_contracts_count"),
+        zero("contract_neighbor_count", 0), zero("contract_degree_centrality", 0.0), zero("contract_betweenness_centrality", 0.0), *[F.col(f"{e}_{m}") for e in ("buyer", "supplier") for m in measures], *[F.col(f"contract_{c}").alias(c) for c in ("component_id", "component_size", "community_id", "community_size")],
+        zero("cpv_count", 0), F.coalesce("has_supplier", F.lit(False)).alias("has_supplier"), F.lit(version).alias("agent3_version"), F.lit(generated_at).alias("generated_at_utc"),
+    )
+
+
+def top_nodes(entity: DataFrame, node_type: str, metric: str, limit: int = 10) -> DataFrame:
+    """Nodes of one type by falling metric, then neighbours, then rising node_id."""
+    return entity.where(F.split_part("node_id", F.lit(":"), F.lit(1)) == node_type).orderBy(F.desc(metric), F.desc("neighbor_count"), "node_id").limit(limit)
+
+
+def focus_subgraph(edges: DataFrame, ranked: DataFrame, metric: str, limit: int, focus: str | None = None) -> DataFrame:
+    """Edges among the ``limit`` nodes of greatest metric, to which a focus node and its neighbours are added."""
+    chosen = ranked.orderBy(F.desc(metric), "node_id").limit(limit).select("node_id")
+    if focus:
+        near = neighbourhood(edges, focus)
+        chosen = chosen.unionByName(near.select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id"))).distinct()
+    return subgraph(edges, chosen)
+
+
+def kpis(nodes: DataFrame, edges: DataFrame, communities_: DataFrame) -> DataFrame:
+    """One row: contracts, nodes, edges, communities and the size of the largest."""
+    n = nodes.agg(F.count_if(F.split_part("node_id", F.lit(":"), F.lit(1)) == "contract").alias("contracts"), F.count(F.lit(1)).alias("nodes"))
+    e = edges.agg(F.count(F.lit(1)).alias("edges"))
+    sizes = communities_.groupBy("community").agg(F.count(F.lit(1)).alias("s")).agg(F.count(F.lit(1)).alias("communities"), F.coalesce(F.max("s"), F.lit(0)).alias("largest"))
+    return n.crossJoin(e).crossJoin(sizes)  # one row each

@@ -35,7 +35,7 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- text and keys
 
-_FOLD = "regexp_replace(strip_accents({0}), '[^\\x00-\\x7F]', '', 'g')"
+_FOLD = "regexp_replace(strip_accents(translate({0}, 'ªº', 'ao')), '[^\\x00-\\x7F]', '', 'g')"
 _TEXT_KEY = "trim(regexp_replace(upper(" + _FOLD + "), '[^A-Z0-9]+', ' ', 'g'))"
 _STABLE = "coalesce(nullif(regexp_replace(regexp_replace(upper(" + _FOLD + "), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'UNKNOWN')"
 
@@ -95,16 +95,23 @@ _NT = "regexp_replace(regexp_replace(strip_accents(regexp_replace(upper({0}), '\
 _ND = "substr(regexp_replace(" + _NT + ", '\\D', '', 'g'), 1, 8)"
 
 
-def _key(a: str, b: str, d: str, own: str) -> str:
+def _key(a: str, b: str, d: str) -> str:
     clean = lambda x: f"nullif(regexp_replace(regexp_replace({x}, '\\|{{2,}}', '|', 'g'), '^\\|+|\\|+$', '', 'g'), '')"
-    return f"coalesce({clean(f"coalesce({_NT.format(a)}, '') || '|' || coalesce({_NT.format(b)}, '') || '|' || coalesce({_ND.format(d)}, '')")}, {clean(f"coalesce({_NT.format(own)}, '')")})"
+    return f"case when {a} is null then {clean(f"nullif({_NT.format('source_entry_id')}, '')")} else {clean(f"{_NT.format(a)} || '|' || coalesce({_NT.format(b)}, '') || '|' || coalesce({_ND.format(d)}, '')")} end"
 
 
-_CANON = f"""canon as (
- select record_id, {_key('file_number', 'buyer_name', 'publication_date', 'contract_id')} as contract_key_canon, 'boe' as source, trim(coalesce(buyer_name, '')) as buyer_name, trim(coalesce(object, '')) as contract_title, trim(coalesce(publication_date, '')) as publication_date, estimated_value_eur, awarded_value_eur, trim(coalesce(supplier_name, '')) as supplier_name from boe_records
- union all select record_id, {_key('contract_folder_id', 'buyer_dir3', 'published_date', 'source_entry_id')}, 'place', trim(coalesce(buyer_name, '')), trim(coalesce(contract_title, '')), trim(coalesce(published_date, '')), estimated_overall_amount, total_amount, trim(coalesce(winning_party_name, '')) from place_records
- union all select record_id, {_key('source_record_id', 'buyer_name', 'publication_date', 'source_entry_id')}, 'opentender', trim(coalesce(buyer_name, '')), trim(coalesce(contract_title, '')), trim(coalesce(publication_date, '')), estimated_amount_raw, awarded_amount_raw, trim(coalesce(awarded_supplier_name, '')) from opentender_records)"""
-_CANON_COLUMNS = ["record_id", "contract_key_canon", "source", "buyer_name", "contract_title", "publication_date", "estimated_value_eur", "awarded_value_eur", "supplier_name"]
+_UNIT = "coalesce(regexp_replace(upper(" + _FOLD + "), '[^A-Z0-9]+', '', 'g'), '')"
+_UNITS = f"""units as (select *, coalesce(notice_id, contract_id) as notice_unit_id, 'expediente:' || substr(sha256({_UNIT.format('buyer_name')} || '|' || {_UNIT.format('file_number')}), 1, 20) as file_unit_id from boe_records),
+awards as (select *, 'adjudicacion:' || substr(sha256({_UNIT.format('notice_unit_id')} || '|' || file_unit_id || '|' || {_UNIT.format('supplier_name')} || '|' || coalesce(printf('%.2f', awarded_value_eur), 'nan') || '|' || {_UNIT.format('object')} || '|' || {_UNIT.format('cpv_codes_raw')}), 1, 20) as award_id from units)"""
+_T = "trim(coalesce({0}, ''), ' ')"
+_CANON = f"""{_UNITS}, canon as (
+ select record_id, award_id as contract_key_canon, 'boe' as source, award_id as source_record_id, {_T.format('notice_unit_id')} as source_notice_id, file_unit_id as source_tender_id, 'boe_2014_2024' as source_dataset, {_T.format('buyer_name')} as buyer_name, {_T.format('institution')} as buyer_id, {_T.format('supplier_name')} as supplier_name, '' as supplier_id,
+  {_T.format('object')} as contract_title, {_T.format('procedure')} as procedure, {_T.format('publication_date')} as publication_date, '' as award_date, estimated_value_eur, awarded_value_eur from awards
+ union all select record_id, {_key('contract_folder_id', 'buyer_dir3', 'published_date')}, 'place', {_T.format('source_entry_id')}, {_T.format('source_entry_id')}, {_T.format('contract_folder_id')}, {_T.format('source_dataset')}, {_T.format('buyer_name')}, {_T.format('buyer_dir3')}, {_T.format('winning_party_name')}, {_T.format('winning_party_nif')},
+  {_T.format('contract_title')}, {_T.format('procedure_code')}, {_T.format('published_date')}, {_T.format('award_date')}, estimated_overall_amount, total_amount from place_records
+ union all select record_id, {_key('source_record_id', 'buyer_name', 'publication_date')}, 'opentender', {_T.format('source_record_id')}, {_T.format('source_entry_id')}, {_T.format('source_record_id')}, {_T.format('source_file')}, {_T.format('buyer_name')}, {_T.format('buyer_id')}, {_T.format('awarded_supplier_name')}, {_T.format('awarded_supplier_nif')},
+  {_T.format('contract_title')}, {_T.format('procedure_code')}, {_T.format('publication_date')}, {_T.format('award_date')}, estimated_amount_raw, awarded_amount_raw from opentender_records)"""
+_CANON_COLUMNS = ["record_id", "contract_key_canon", "source", "source_record_id", "source_notice_id", "source_tender_id", "source_dataset", "buyer_name", "buyer_id", "supplier_name", "supplier_id", "contract_title", "procedure", "publication_date", "award_date", "estimated_value_eur", "awarded_value_eur"]
 
 
 @query(f"with {_CANON} select * from canon")
@@ -302,9 +309,8 @@ def gra_components_all(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def gra_communities(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "graph_edges").where("edge_type in ('PUBLISHED', 'AWARDED_TO')")
-    pairs = G.simple(edges)
-    groups = G.communities(pairs)
+    """Communities of the graph of all edges: nodes and their kinds."""
+    groups = G.communities(G.simple(table(spark, sf, "graph_edges")))
     return groups.groupBy("community").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("node_id").startswith("contract:")).alias("contracts"), F.count_if(F.col("node_id").startswith("buyer:")).alias("buyers"), F.count_if(F.col("node_id").startswith("supplier:")).alias("suppliers"))
 
 

@@ -3,6 +3,7 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesela.operators import graph as G
 
@@ -81,7 +82,7 @@ def test_betweenness_is_exact_up_to_the_limit(spark):
 def test_communities_find_two_cliques(spark):
     pairs = [*itertools.combinations([f"a{i}" for i in range(6)], 2), *itertools.combinations([f"b{i}" for i in range(6)], 2), ("a0", "b0")]
     df = frame(spark, [tuple(sorted(p)) for p in pairs])
-    groups = G.communities(df, rounds=12)
+    groups = G.communities(df, settled=0.0)
     q = G.modularity(df, groups).collect()[0].modularity
     assert q > 0.40
 
@@ -100,3 +101,28 @@ def test_components_of_all_edges_hold_all_nodes(spark, tiny):
 
     n = G.nodes_of(table(spark, tiny, "graph_edges")).count()
     assert engine.gra_components_all(spark, tiny).count() == n
+
+
+def test_nodes_groups_and_features(spark):
+    rows = [(1, "K1", "boe", "r1", "Obra", "B1", "Ayto", "S1", "Norte", "71000000"), (2, "K1", "boe", "r2", "Otra", "B1", "Ayuntamiento", "S1", "Norte", "71000000-8, 45"), (3, "K2", "place", None, None, None, "Ayto", None, None, None), (4, " ", "boe", None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "row_id long, contract_key_canon string, source string, source_record_id string, contract_title string, buyer_id string, buyer_name string, supplier_id string, supplier_name string, cpv_codes_raw string")
+    nodes = {r.node_id: r for r in G.build_nodes(df).collect()}
+    assert set(nodes) == {"contract:K1", "contract:K2", "source:BOE", "source:PLACE", "buyer:B1", "buyer:AYTO", "supplier:S1", "cpv:71000000", "cpv:45"}
+    assert nodes["contract:K1"].attributes == {"contract_key_canon": "K1", "source": "boe", "source_record_id": "r1", "contract_title": "Obra"} and nodes["buyer:B1"].label == "Ayto" and nodes["contract:K2"].attributes == {"contract_key_canon": "K2", "source": "place"}
+    edges = G.build_edges(df)
+    pairs = G.simple(edges)
+    groups = G.sized_groups(G.components(pairs), "component")
+    got = {r.node_id: (r.group_id, r.group_size) for r in groups.collect()}
+    assert got["contract:K1"] == (0, 6) and got["contract:K2"] == (1, 3)
+    entity = G.degrees(pairs).join(groups, "node_id").select("node_id", "neighbor_count", "degree_centrality", F.lit(0.0).alias("betweenness_centrality"), F.col("group_id").alias("component_id"), F.col("group_size").alias("component_size"), F.col("group_id").alias("community_id"), F.col("group_size").alias("community_size"))
+    table = G.feature_table(edges, G.build_nodes(df), entity, "1", "now")
+    assert len(table.columns) == 25
+    k1 = next(r for r in table.collect() if r.contract_key_canon == "K1")
+    assert (k1.buyer_supplier_recurrence, k1.cpv_count, k1.has_supplier, k1.component_size, k1.contract_neighbor_count, k1.buyer_neighbor_count) == (1, 2, True, 6, 5, 1)
+
+
+def test_a_hub_and_groups_of_equal_size(spark):
+    pairs = [("h", f"n{i:03d}") for i in range(300)] + [(f"x{i}", f"y{i}") for i in range(20)]
+    groups = G.sized_groups(G.components(frame(spark, pairs)), "component")
+    got = {r.node_id: r.group_id for r in groups.collect()}
+    assert got["h"] == 0 and [got[f"x{i}"] for i in sorted(range(20), key=str)] == list(range(1, 21))
