@@ -87,9 +87,7 @@ def _cuts(docs: DataFrame, rest: dict[str, float], few: int = 20_000) -> tuple[d
     lo, hi, before = {s: 0.0 for s in rest}, {s: 1.0 for s in rest}, {s: 0.0 for s in rest}
     open_ = {s for s, r in rest.items() if r > 0}
     cut, tie = {s: -1.0 for s in rest}, {s: -1 for s in rest}
-    for _ in range(12):
-        if not open_:
-            break
+    while open_:  # each round leaves one bin of BINS, until it holds few documents or one value
         names = sorted(open_)
         a = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(lo[s]))])[F.col("source")]
         b = F.create_map(*[x for s in names for x in (F.lit(s), F.lit(hi[s]))])[F.col("source")]
@@ -113,7 +111,10 @@ def _cuts(docs: DataFrame, rest: dict[str, float], few: int = 20_000) -> tuple[d
                 open_.discard(s)
                 continue
             before[s] = at
-            if hit["n"] <= few or hit["q0"] == hit["q1"]:
+            if hit["n"] > few and hit["q0"] == hit["q1"]:
+                cut[s], tie[s] = hit["q0"], _last_of_tie(docs, s, hit["q0"], rest[s] - at)
+                open_.discard(s)
+            elif hit["n"] <= few:
                 narrow[s] = (hit["q0"], hit["q1"])
                 open_.discard(s)
             else:
@@ -134,6 +135,18 @@ def _cuts(docs: DataFrame, rest: dict[str, float], few: int = 20_000) -> tuple[d
     return cut, tie
 
 
+def _last_of_tie(docs: DataFrame, source: str, q: float, due: float) -> int:
+    """The greatest doc_id up to which the documents of one q have at most the tokens that are due, by halving the range of ids."""
+    same = docs.where((F.col("source") == source) & (F.col("q") == q))
+    ends = same.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()[0]
+    lo, hi = ends["lo"] - 1, ends["hi"]
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        t = same.where(F.col("doc_id") <= mid).agg(F.sum("n_tokens").alias("t")).collect()[0]["t"] or 0
+        lo, hi = (mid, hi) if t <= due else (lo, mid - 1)
+    return lo
+
+
 def _above(x: float) -> float:
     import math
 

@@ -87,9 +87,10 @@ def p5_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sized_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, source, n_tokens of every document, counted once and kept in the shared folder."""
+    """doc_id, source, n_tokens, completeness (1 and the filled ones of five fields) of every document, counted once and kept in the shared folder."""
     docs = table(spark, sf, "documents")
-    return stage_table(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens")), "sized")
+    known = sum((F.when(filled_text(F.col(c)).isNotNull(), 1.0).otherwise(0.0) for c in ("lang", "document_type", "buyer_dir3", "contract_key_canon", "published_date")), F.lit(1.0))
+    return stage_table(docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), known.alias("completeness")), "sized")
 
 
 def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,12 +103,13 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(sized_documents(spark, sf), table(spark, sf, "source_targets"))
+    """The odds of a document are its completeness: well described ones are drawn, and repeated, more often."""
+    return mixing.mix(sized_documents(spark, sf), table(spark, sf, "source_targets"), odds="completeness")
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     targets = table(spark, sf, "source_targets")
-    return mixing.shares(mixing.mix(sized_documents(spark, sf), targets), targets)
+    return mixing.shares(mixing.mix(sized_documents(spark, sf), targets, odds="completeness"), targets)
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,11 +1,17 @@
 """Reading level of each document, by a latent difficulty model of words and documents.
 
-A document has a level, a word (or pair of words) a difficulty and a discrimination. The level of a
-document is the mean difficulty of the words that occur in it, weighted by how well they discriminate; the
-difficulty of a word is the mean level of the documents it occurs in, and its discrimination falls with their
-spread. Both are estimated in turn over all documents, starting from a bounded sample of labelled ones, which
-also fix the scale in each language and pull weakly on their own documents, so that wrong labels give way.
-In the end each sentence or line gets its own level, and the level that holds most words is the document's.
+A Rasch-style model with two parameters for a word (or pair of words): the log-odds that word w occurs in
+document d are a(w) + b(w) * (level(d) - 2) + log of the length of d. A word of positive difficulty b is one of
+demanding texts. Levels and words are estimated in turn over all documents: given the words, the level of a
+document is the one of greatest conditional likelihood (which words occur, given how many) on a grid, which takes
+only the number of its words and the sum of their b; given the
+levels, the parameters of a word solve its logistic likelihood by Newton steps, which take only the number of
+documents it occurs in, the sum of their levels, and how many documents have which level and length. Both
+sums are made where the documents lie. A bounded sample of labelled documents starts the iteration, fixes the
+scale in each language and pulls weakly on its own documents, so that wrong labels give way.
+
+In the end each sentence or line gets its level by the same likelihood; those of the level that holds most
+words are the main text, whose own latent level is the document's.
 
 Words are hashed into SLOTS slots, so the model has the same size for every corpus and no word is left out.
 """
@@ -28,49 +34,91 @@ from tesela.session import stage_table
 SLOTS = 1 << 18
 #: At most so many labelled documents anchor the scale (chosen by a hash of their ids where there are more).
 LABEL_BOUND = 10_000
-LANGUAGE_BOUND = 16
 LEVELS = (1, 2, 3)
-ROUNDS = 6
-SPREAD, PRIOR, PULL, TRUST = 0.03, 1.0, 80.0, 20.0
-_WORD = re.compile(r"[^\W\d_]+")
+#: Levels on which likelihoods are evaluated, and lengths (in half octaves of distinct words and pairs).
+GRID = np.arange(0.5, 3.51, 0.25)
+LENGTHS = 32
+#: Rounds at most, documents in which a word must occur to say something, strength of the words' priors, of a label and of the middle level.
+ROUNDS, LEAST, RIDGE, PULL, PRIOR = 10, 4.0, 4.0, 30.0, 0.05
 _TAG = re.compile(r"<[^<>]{1,300}>")
-_SEGMENT = re.compile(r"[.!?;\n\r]+")
-_FEATURES = "doc_id bigint, lang string, label int, n_words int, ids array<int>, seg_words array<int>, seg_ids array<array<int>>"
 
 
-def slots(words: list[str]) -> list[int]:
-    found = {zlib.crc32(w.encode()) % SLOTS for w in words}
-    found.update(zlib.crc32(f"{a} {b}".encode()) % SLOTS for a, b in zip(words, words[1:], strict=False))
-    return sorted(found)
+def _plain(c: str) -> str:
+    """Small letter without accent, line end for what parts sentences, or a blank."""
+    if c in ".!;\n\r":
+        return "\n"
+    t = "".join(x for x in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(x))
+    return t if len(t) == 1 and t.isascii() and t.isalpha() else " "
+
+
+_LATIN = bytes(ord(_plain(chr(c))) for c in range(256))
+_FEATURES = "doc_id bigint, lang string, label int, n_words int, ids array<int>, seg_words array<int>, seg_ids array<array<int>>"
 
 
 def segments(text: str) -> list[list[str]]:
-    """Words of each sentence or line, in small letters without accents and markup."""
+    """Words of each sentence or line, in small letters without accents and markup; letters beyond Latin-1 part words."""
     t = html.unescape(_TAG.sub(" ", text)) if "<" in text or "&" in text else text
-    t = unicodedata.normalize("NFKD", t.lower())
-    t = "".join(c for c in t if not unicodedata.combining(c)) if not t.isascii() else t
-    return [w for s in _SEGMENT.split(t) if (w := _WORD.findall(s))]
+    t = t.replace("?", ".").encode("latin-1", "replace").translate(_LATIN).decode("ascii")
+    return [w for s in t.split("\n") if (w := s.split())]
 
 
-def _features(batches: Iterator) -> Iterator:
-    import pandas as pd
+def _unique(owner: np.ndarray, slot: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct slots of each owner in order, and their offsets."""
+    both = np.unique(owner.astype(np.int64) * SLOTS + slot)
+    return (both % SLOTS).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(both // SLOTS, minlength=owners))]).astype(np.int32)
 
+
+class Slots:
+    """Slots of words; of pairs of neighbours by mixing theirs."""
+
+    def __init__(self) -> None:
+        self.seen: dict[str, int] = {}
+
+    def of(self, words: list[str]) -> list[int]:
+        seen = self.seen
+        if len(seen) > 1_000_000:
+            seen.clear()
+        out = []
+        for w in words:
+            i = seen.get(w)
+            if i is None:
+                i = seen[w] = zlib.crc32(w.encode()) % SLOTS
+            out.append(i)
+        return out
+
+    def lists(self, segs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Segment and slot of every word and pair of all segments, and the words of each segment."""
+        size = np.array([len(s) for s in segs], dtype=np.int64)
+        ids = np.array([i for s in segs for i in self.of(s)], dtype=np.int64)
+        owner = np.repeat(np.arange(len(segs)), size)
+        near = owner[1:] == owner[:-1] if len(ids) else np.zeros(0, dtype=bool)
+        pairs = ((ids[:-1] * 2654435761 + ids[1:] * 40503 + 12345) >> 7) % SLOTS
+        return np.concatenate([owner, owner[:-1][near]]), np.concatenate([ids, pairs[near]]), size
+
+
+def _features(batches: Iterator) -> Iterator:
+    slots = Slots()
     for b in batches:
-        rows = []
-        for i, text, lang, label in zip(b["doc_id"], b["text"], b["lang"], b["label"], strict=True):
-            segs = segments(text)
-            ids = [slots(s) for s in segs]
-            rows.append((i, lang, label, len(text.split()), sorted(set().union(*ids)), [len(s) for s in segs], ids))
-        out = pd.DataFrame(rows, columns=["doc_id", "lang", "label", "n_words", "ids", "seg_words", "seg_ids"])
-        out["label"] = out["label"].astype("Int32")
-        yield out
+        if not b.num_rows:
+            continue
+        texts = b.column(1).to_pylist()
+        by_doc = [segments(t) for t in texts]
+        n_segs = np.array([len(x) for x in by_doc], dtype=np.int64)
+        owner, slot, size = slots.lists([s for x in by_doc for s in x])
+        seg_flat, seg_off = _unique(owner, slot, int(n_segs.sum()))
+        doc_of = np.repeat(np.arange(b.num_rows), n_segs)
+        ids, ids_off = _unique(doc_of[owner], slot, b.num_rows)
+        seg_at = pa.array(np.concatenate([[0], np.cumsum(n_segs)]).astype(np.int32))
+        inner = pa.ListArray.from_arrays(pa.array(seg_off), pa.array(seg_flat))
+        columns = [b.column(0), b.column(2), b.column(3), pa.array(np.array([len(t.split()) for t in texts], dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ids_off), pa.array(ids)), pa.ListArray.from_arrays(seg_at, pa.array(size.astype(np.int32))), pa.ListArray.from_arrays(seg_at, inner)]
+        yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _FEATURES.split(", ")])
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Slots of the segments of every text that isn't null, with the label where there is one."""
     lab = labels.where(F.col("reading_level").isin(*LEVELS)).groupBy("doc_id").agg(F.min("reading_level").alias("label"))
-    rows = docs.where("text is not null").select("doc_id", "text", "lang").join(lab, "doc_id", "left")
-    return stage_table(rows.mapInPandas(_features, _FEATURES), "reading")
+    rows = docs.where("text is not null").select("doc_id", "text", "lang").join(lab, "doc_id", "left").select("doc_id", "text", "lang", F.col("label").cast("int").alias("label"))
+    return stage_table(rows.mapInArrow(_features, _FEATURES), "reading")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,30 +129,70 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def length_of(n: np.ndarray) -> np.ndarray:
+    """Class of length of lists of n slots."""
+    return np.minimum(np.rint(2 * np.log2(np.maximum(n, 1))).astype(np.int64), LENGTHS - 1)
+
+
 class Model:
-    """Difficulty and discrimination of each slot, the scale of each language and the slots of languages."""
+    """Base odds and difficulty of each slot, the scale of each language and the slots of languages."""
 
     def __init__(self, languages: list[str]) -> None:
-        self.languages, self.mean = languages, 2.0
-        self.difficulty, self.power = np.full(SLOTS, 2.0), np.zeros(SLOTS)
+        self.languages = languages
+        self.base, self.difficulty = np.full(SLOTS, -20.0, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)
+        self.norm = np.zeros(len(GRID))
         self.by_language = np.zeros((max(1, len(languages)), SLOTS), dtype=np.float32)
         self.scales: list[tuple[np.ndarray, np.ndarray]] = [(np.array([1.0, 3.0]), np.array([1.0, 3.0]))] * max(1, len(languages))
 
-    def update(self, n: np.ndarray, s: np.ndarray, s2: np.ndarray) -> float:
-        """New words from the weighted levels of their documents; the largest change of a difficulty that counts."""
-        d = (s + PRIOR * self.mean) / (n + PRIOR)
-        spread = (s2 + PRIOR * (self.mean**2 + 0.6)) / (n + PRIOR) - d**2
-        moved = float(np.abs(d - self.difficulty)[n > 3].max(initial=0.0))
-        self.difficulty, self.power = d, np.where(n > 0, n / (n + PRIOR) / (np.maximum(spread, 0) + SPREAD), 0.0)
-        return moved
-
-    def raw(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Level before scaling, and the weight of its words, of each list of slots."""
-        p = self.power[ids]
-        num = np.concatenate([[0.0], np.cumsum(p * self.difficulty[ids])])
-        den = np.concatenate([[0.0], np.cumsum(p)])
-        a, b = num[offsets[1:]] - num[offsets[:-1]], den[offsets[1:]] - den[offsets[:-1]]
-        return np.where(b > 1e-9, a / np.maximum(b, 1e-9), self.mean), b
+    @staticmethod
+    def offsets(length: np.ndarray) -> np.ndarray:
+        return (length / 2 * np.log(2.0)).astype(np.float32)
+
+    def update(self, n: np.ndarray, s: np.ndarray, docs: np.ndarray, steps: int = 2, block: int = 20_000) -> float:
+        """Newton steps of the words' logistic likelihoods; the largest change of a difficulty that counts.
+
+        n: documents of each slot; s: sum of their levels less 2; docs: number of documents by level and length.
+        """
+        at_level, at_length = np.nonzero(docs)
+        weight = docs[at_level, at_length].astype(np.float32)
+        g, o = (GRID[at_level] - 2).astype(np.float32), self.offsets(at_length)
+        known = np.flatnonzero(n >= LEAST)
+        first = self.base[known] < -15
+        share = np.log((n[known] + 0.5) / max(1.0, float((weight * np.exp(o)).sum())))
+        self.base[known[first]] = share[first]
+        before = self.difficulty[known].copy()
+        for lo in range(0, len(known), block):
+            w = known[lo : lo + block]
+            a, b, nw, sw = self.base[w].copy(), self.difficulty[w].copy(), n[w].astype(np.float32), s[w].astype(np.float32)
+            for _ in range(steps):
+                p = 1 / (1 + np.exp(-np.clip(a[:, None] + b[:, None] * g + o, -30, 30)))
+                v = p * (1 - p) * weight
+                p *= weight
+                f1, f2 = nw - p.sum(axis=1), sw - p @ g - RIDGE * b
+                h11, h12, h22 = v.sum(axis=1) + 0.1, v @ g, v @ (g * g) + RIDGE
+                det = np.maximum(h11 * h22 - h12 * h12, 1e-6)
+                a += np.clip((h22 * f1 - h12 * f2) / det, -1, 1)
+                b += np.clip((h11 * f2 - h12 * f1) / det, -1, 1)
+            self.base[w], self.difficulty[w] = a, b
+        # what a word more costs at each level: the share of each word among all, given that one occurs
+        a, b = self.base[known].astype(np.float64), self.difficulty[known].astype(np.float64)
+        self.norm = np.array([np.logaddexp.reduce(a + b * g) if len(known) else 0.0 for g in GRID - 2])
+        return float(np.abs(self.difficulty[known] - before).max(initial=0.0))
+
+    def raw(self, ids: np.ndarray, offsets: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Latent level of each list of slots, between the points of the grid, and how much its words say about it."""
+        num = np.concatenate([[0.0], np.cumsum(self.difficulty[ids], dtype=np.float64)])
+        den = np.concatenate([[0.0], np.cumsum(np.abs(self.difficulty[ids]), dtype=np.float64)])
+        total, said = num[offsets[1:]] - num[offsets[:-1]], den[offsets[1:]] - den[offsets[:-1]]
+        seen = np.concatenate([[0], np.cumsum(self.base[ids] > -15)])
+        like = total[:, None] * (GRID - 2) - (seen[offsets[1:]] - seen[offsets[:-1]])[:, None] * self.norm - PRIOR * (GRID - 2) ** 2
+        if label is not None:
+            like = like - np.where(np.isnan(label), 0.0, PULL)[:, None] * (GRID - np.nan_to_num(label, nan=2.0)[:, None]) ** 2
+        top = np.clip(like.argmax(axis=1), 1, len(GRID) - 2)
+        at = np.arange(len(top))
+        l0, l1, l2 = like[at, top - 1], like[at, top], like[at, top + 1]
+        bend = np.minimum(l0 - 2 * l1 + l2, -1e-9)
+        return np.clip(GRID[top] + 0.25 * np.clip((l0 - l2) / (2 * bend), -1, 1), GRID[0], GRID[-1]), said
 
     def language(self, names: list, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Number of the language as given, else the one whose slots fit best."""
@@ -123,14 +211,27 @@ class Model:
         return out
 
     def rescale(self, raw: np.ndarray, label: np.ndarray, language: np.ndarray) -> None:
-        """Medians of the raw levels of each label set the scale; a language that lacks a level takes the common one."""
+        """The scale maps the median raw level of each label to it, and the cut that parts two labels best to their middle.
+
+        A language that lacks a level takes the common scale.
+        """
+
+        def between(low: np.ndarray, high: np.ndarray) -> float:
+            """The middle of the cuts with (nearly) fewest labels on the wrong side."""
+            x = np.unique(np.concatenate([low, high]))
+            cuts = np.concatenate([[x[0] - 0.01], (x[1:] + x[:-1]) / 2, [x[-1] + 0.01]])
+            wrong = (low.size - np.searchsorted(np.sort(low), cuts)) / low.size + np.searchsorted(np.sort(high), cuts) / high.size
+            best = np.flatnonzero(wrong <= wrong.min() + 0.02)
+            return float((cuts[best[0]] + cuts[best[-1]]) / 2)
 
         def points(at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-            found = [(float(np.median(raw[at & (label == k)])), float(k)) for k in LEVELS if (at & (label == k)).any()]
-            if len(found) < 2:
+            by = [(k, raw[at & (label == k)]) for k in LEVELS if (at & (label == k)).any()]
+            if len(by) < 2:
                 return None
-            x = np.maximum.accumulate([p[0] for p in found]) + np.arange(len(found)) * 1e-6
-            return x, np.array([p[1] for p in found])
+            found = [(float(np.median(by[0][1])), float(by[0][0]))]
+            for (k0, r0), (k1, r1) in zip(by, by[1:], strict=False):
+                found += [(between(r0, r1), (k0 + k1) / 2), (float(np.median(r1)), float(k1))]
+            return np.maximum.accumulate([p[0] for p in found]) + np.arange(len(found)) * 1e-6, np.array([p[1] for p in found])
 
         common = points(np.ones(len(raw), dtype=bool)) or (np.array([1.0, 3.0]), np.array([1.0, 3.0]))
         for k in range(len(self.scales)):
@@ -140,37 +241,35 @@ class Model:
 
 
 def _sums(model):
-    """Weighted sums per slot over the documents of a partition."""
+    """Sums per slot over the documents of a partition, and (slot -1 - cell) how many have which level and length."""
 
     def run(batches):
         m = model.value
-        n, s, s2 = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(SLOTS)
+        n, s, docs = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros((len(GRID), LENGTHS))
         for b in batches:
             if not b.num_rows:
                 continue
             ids, offsets = _lists(b.column(2))
             label = b.column(1).to_numpy(zero_copy_only=False).astype(float)
-            raw, weight = m.raw(ids, offsets)
-            level = m.scaled(raw, m.language(b.column(0).to_pylist(), ids, offsets))
-            has = ~np.isnan(label)
-            level = np.where(has, (level * weight + np.where(has, label, 0) * PULL) / (weight + PULL), level)
-            trust = np.where(has, 1.0, 0.7 * weight / (weight + TRUST))
+            level, _ = m.raw(ids, offsets, label)
+            level = m.scaled(level, m.language(b.column(0).to_pylist(), ids, offsets))
+            cell = np.rint((np.clip(level, GRID[0], GRID[-1]) - GRID[0]) / 0.25).astype(np.int64)
             per = np.diff(offsets)
-            t, tl = np.repeat(trust, per), np.repeat(trust * level, per)
-            n += np.bincount(ids, t, SLOTS)
-            s += np.bincount(ids, tl, SLOTS)
-            s2 += np.bincount(ids, tl * np.repeat(level, per), SLOTS)
-        at = np.flatnonzero(n)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(s[at]), pa.array(s2[at])], names=["slot", "n", "s", "s2"])
+            np.add.at(docs, (cell, length_of(per)), 1.0)
+            n += np.bincount(ids, minlength=SLOTS)
+            s += np.bincount(ids, np.repeat(GRID[cell] - 2, per), SLOTS)
+        at, cells = np.flatnonzero(n), np.flatnonzero(docs.ravel())
+        if len(at) or len(cells):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - cells]).astype(np.int32)), pa.array(np.concatenate([n[at], docs.ravel()[cells]])), pa.array(np.concatenate([s[at], np.zeros(len(cells))]))], names=["slot", "n", "s"])
 
     return run
 
 
-def fit(feats: DataFrame, rounds: int = ROUNDS, label_bound: int = LABEL_BOUND, tolerance: float = 0.02) -> Model:
-    """Difficulties from all documents; only sums per slot and the bounded labelled sample reach the driver."""
+def fit(feats: DataFrame, rounds: int = ROUNDS, label_bound: int = LABEL_BOUND, tolerance: float = 0.05) -> Model:
+    """The words' parameters from all documents; only sums per slot and the bounded labelled sample reach the driver."""
     spark = feats.sparkSession
-    langs = [r["lang"] for r in feats.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGE_BOUND).collect()]
+    # languages of a corpus are few; each is a row of SLOTS numbers in the model
+    langs = [r["lang"] for r in feats.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     m = Model(langs)
     rows = feats.where(F.col("lang").isin(*langs)).select("lang", F.explode("ids").alias("slot")).groupBy("lang", "slot").count().toPandas() if langs else None  # at most SLOTS rows a language
     if rows is not None and len(rows):
@@ -183,17 +282,19 @@ def fit(feats: DataFrame, rounds: int = ROUNDS, label_bound: int = LABEL_BOUND,
     ids = np.concatenate(known["ids"].to_numpy())
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in known["ids"]])])
     label, language = known["label"].to_numpy().astype(float), m.language(known["lang"].tolist(), ids, offsets)
-    m.mean = float(label.mean())
-    per = np.repeat(label, np.diff(offsets))
-    m.update(np.bincount(ids, minlength=SLOTS).astype(float), np.bincount(ids, per, SLOTS), np.bincount(ids, per**2, SLOTS))
+    per = np.diff(offsets)
+    docs = np.zeros((len(GRID), LENGTHS))
+    np.add.at(docs, (np.rint((label - GRID[0]) / 0.25).astype(np.int64), length_of(per)), 1.0)
+    m.update(np.bincount(ids, minlength=SLOTS).astype(float), np.bincount(ids, np.repeat(label - 2, per), SLOTS), docs, steps=6)
     m.rescale(m.raw(ids, offsets)[0], label, language)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(m)  # SLOTS numbers a part, at every size of the corpus
-        sums = feats.select("lang", F.col("label").cast("double"), "ids").mapInArrow(_sums(sent), "slot int, n double, s double, s2 double")
-        got = sums.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2")).toPandas()
-        n, s, s2 = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(SLOTS)
-        n[got["slot"]], s[got["slot"]], s2[got["slot"]] = got["n"], got["s"], got["s2"]
-        moved = m.update(n, s, s2)
+        sums = feats.select("lang", F.col("label").cast("double"), "ids").mapInArrow(_sums(sent), "slot int, n double, s double")
+        got = sums.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toPandas()
+        n, s, docs = np.zeros(SLOTS), np.zeros(SLOTS), np.zeros(len(GRID) * LENGTHS)
+        words, cells = got[got["slot"] >= 0], got[got["slot"] < 0]
+        n[words["slot"]], s[words["slot"]], docs[-1 - cells["slot"].to_numpy()] = words["n"], words["s"], cells["n"]
+        moved = m.update(n, s, docs.reshape(len(GRID), LENGTHS))
         m.rescale(m.raw(ids, offsets)[0], label, language)
         sent.unpersist()
         if moved < tolerance:
@@ -204,8 +305,8 @@ def fit(feats: DataFrame, rounds: int = ROUNDS, label_bound: int = LABEL_BOUND,
 def levels(feats: DataFrame, model: Model, least_words: int = 0) -> DataFrame:
     """doc_id, reading_level, score of every document with at least ``least_words`` words.
 
-    The level is that of the segments that hold most words (ties go to the level nearer the score); texts
-    without a known word get the middle level.
+    Segments of the level that holds most words (ties go to the level nearer that of the whole text) are the main
+    text; score is its latent level, scaled, and reading_level the nearest of LEVELS. Texts without a known word get 2.
     """
     sent = feats.sparkSession.sparkContext.broadcast(model)
 
@@ -216,21 +317,27 @@ def levels(feats: DataFrame, model: Model, least_words: int = 0) -> DataFrame:
                 continue
             ids, offsets = _lists(b.column(2))
             language = m.language(b.column(1).to_pylist(), ids, offsets)
-            raw, weight = m.raw(ids, offsets)
-            score = np.where(weight > 0, m.scaled(raw, language), 2.0)
+            raw, said = m.raw(ids, offsets)
+            score = np.where(said > 0, m.scaled(raw, language), 2.0)
             seg = b.column(4)
-            seg_at = seg.offsets.to_numpy() - seg.offsets[0].as_py()
-            inner = seg.values.slice(seg.offsets[0].as_py(), int(seg_at[-1]))
+            first = seg.offsets[0].as_py()
+            seg_at = seg.offsets.to_numpy() - first
+            inner = seg.values.slice(first, int(seg_at[-1]))
             words = _lists(b.column(3))[0].astype(float)
-            votes = np.zeros((b.num_rows, 3))
             if len(inner):
                 s_ids, s_off = _lists(inner)
                 owner = np.repeat(np.arange(b.num_rows), np.diff(seg_at))
-                s_raw, s_weight = m.raw(s_ids, s_off)
+                s_raw, s_said = m.raw(s_ids, s_off)
                 level = np.clip(np.rint(m.scaled(s_raw, language[owner])), 1, 3).astype(int)
-                np.add.at(votes, (owner, level - 1), np.where(s_weight > 0, words, 0.0))
-            votes -= 1e-3 * np.abs(np.array([[1.0, 2.0, 3.0]]) - score[:, None])
-            best = votes.argmax(axis=1) + 1
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best.astype(np.int32)), pa.array(score)], names=["doc_id", "reading_level", "score"])
+                votes = np.zeros((b.num_rows, 3))
+                np.add.at(votes, (owner, level - 1), np.where(s_said > 0, words, 0.0))
+                best = (votes - 1e-3 * np.abs(np.array([[1.0, 2.0, 3.0]]) - score[:, None])).argmax(axis=1) + 1
+                main = (level == best[owner]) & (s_said > 0)
+                rows = np.repeat(main, np.diff(s_off))
+                m_ids, m_off = _unique(np.repeat(owner, np.diff(s_off))[rows], s_ids[rows], b.num_rows)
+                m_raw, m_said = m.raw(m_ids, m_off)
+                # the main text keeps to the level of its segments, which its latent level refines
+                score = np.where(m_said > 0, np.clip(m.scaled(m_raw, language), best - 0.49, best + 0.49), score)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(np.rint(score), 1, 3).astype(np.int32)), pa.array(score)], names=["doc_id", "reading_level", "score"])
 
     return feats.where(F.col("n_words") >= least_words).select("doc_id", "lang", "ids", "seg_words", "seg_ids").mapInArrow(run, "doc_id bigint, reading_level int, score double")

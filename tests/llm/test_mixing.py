@@ -37,3 +37,12 @@ def test_same_draw_again_and_empty(docs, targets):
     one, two = (sorted(map(tuple, mix(docs.repartition(k), targets, tokens=50_000).collect())) for k in (3, 5))
     assert one == two
     assert mix(docs.limit(0), targets).count() == 0
+
+
+def test_many_equal_ranks(spark, monkeypatch):
+    """Documents of one rank are told apart by their ids, however many there are."""
+    from tesela.llm import mixing
+
+    docs = spark.createDataFrame([(i, "a", 10, 0.25) for i in range(500)] + [(1000, "a", 10, 0.1)], "doc_id long, source string, n_tokens long, q double")
+    cut, tie = mixing._cuts(docs, {"a": 1234.0}, few=50)
+    assert cut == {"a": 0.25} and tie == {"a": 121}
