@@ -23,6 +23,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -64,32 +65,25 @@ def segments(text: str) -> list[list[str]]:
 
 def _unique(owner: np.ndarray, slot: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct slots of each owner in order, and their offsets."""
-    both = np.unique(owner.astype(np.int64) * SLOTS + slot)
+    both = np.sort(owner.astype(np.int64) * SLOTS + slot)
+    if len(both):
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     return (both % SLOTS).astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(both // SLOTS, minlength=owners))]).astype(np.int32)
 
 
-class Slots:
-    """Slots of words; of pairs of neighbours by mixing theirs."""
+class Slots(dict):
+    """Slots of words, kept as words repeat; of pairs of neighbours by mixing theirs."""
 
-    def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
-
-    def of(self, words: list[str]) -> list[int]:
-        seen = self.seen
-        if len(seen) > 1_000_000:
-            seen.clear()
-        out = []
-        for w in words:
-            i = seen.get(w)
-            if i is None:
-                i = seen[w] = zlib.crc32(w.encode()) % SLOTS
-            out.append(i)
-        return out
+    def __missing__(self, word: str) -> int:
+        self[word] = i = zlib.crc32(word.encode()) % SLOTS
+        return i
 
     def lists(self, segs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segment and slot of every word and pair of all segments, and the words of each segment."""
+        if len(self) > 1_000_000:
+            self.clear()
         size = np.array([len(s) for s in segs], dtype=np.int64)
-        ids = np.array([i for s in segs for i in self.of(s)], dtype=np.int64)
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(segs)), dtype=np.int64, count=int(size.sum()))
         owner = np.repeat(np.arange(len(segs)), size)
         near = owner[1:] == owner[:-1] if len(ids) else np.zeros(0, dtype=bool)
         pairs = ((ids[:-1] * 2654435761 + ids[1:] * 40503 + 12345) >> 7) % SLOTS
@@ -107,7 +101,7 @@ def _features(batches: Iterator) -> Iterator:
         owner, slot, size = slots.lists([s for x in by_doc for s in x])
         seg_flat, seg_off = _unique(owner, slot, int(n_segs.sum()))
         doc_of = np.repeat(np.arange(b.num_rows), n_segs)
-        ids, ids_off = _unique(doc_of[owner], slot, b.num_rows)
+        ids, ids_off = _unique(np.repeat(doc_of, np.diff(seg_off)), seg_flat, b.num_rows)
         seg_at = pa.array(np.concatenate([[0], np.cumsum(n_segs)]).astype(np.int32))
         inner = pa.ListArray.from_arrays(pa.array(seg_off), pa.array(seg_flat))
         columns = [b.column(0), b.column(2), b.column(3), pa.array(np.array([len(t.split()) for t in texts], dtype=np.int32)), pa.ListArray.from_arrays(pa.array(ids_off), pa.array(ids)), pa.ListArray.from_arrays(seg_at, pa.array(size.astype(np.int32))), pa.ListArray.from_arrays(seg_at, inner)]
