@@ -34,7 +34,7 @@ class Spec:
     brackets: tuple[tuple[str, str], ...] = (("[", "]"),)
     pattern: str | None = None  # what surrounds a value; group 1 is the value
     width: int | None = None  # values of one width may follow each other without separators
-    most_separators: int = 12  # that one value may hold itself
+    most_separators: int = 64  # that one value may hold itself
     char_bits: float = 8.0
     split_bits: float = 2.0
     dialect_bits: float = 5.0
@@ -154,9 +154,9 @@ class Reader:
         for a, b in s.brackets:
             if t.startswith(a) and t.endswith(b):
                 t = t[1:-1].strip()
-        if s.width and t.isdigit() and len(t) % s.width == 0:
+        if s.width and t.isdigit() and len(t) % s.width == 0:  # the dialect without separators: one parse, which no other can undercut
             return [t[i : i + s.width] for i in range(0, len(t), s.width)]
-        present = [x for x in s.separators if self.finders[x].search(t)]
+        present = [x for x in s.separators if (x if x.isspace() else x.strip()) in t and self.finders[x].search(t)]
         quotes = [None, *(q for q in s.quotes if q[0] in t and q[1] in t)]
         best: tuple[float, bool, list[str]] | None = None
         for size in range(len(present) + 1):
@@ -165,11 +165,8 @@ class Reader:
                     got = self.read_as(t, chosen, q)
                     if best is None or got[0] < best[0]:
                         best = got
-            if best[1] or size >= 3:
+            if best[1]:
                 break
-        if not best[1] and len(present) > 3:
-            got = self.read_as(t, tuple(present), None)
-            best = got if got[0] < best[0] else best
         return best[2]
 
 
@@ -193,13 +190,17 @@ def codebook(texts: DataFrame, column: str, spec: Spec, vocabulary: DataFrame |
     values. At most ``bound`` values, those met most often first, are kept; the driver never holds more.
     """
     distinct = texts.select(F.col(column).cast("string").alias("text")).where("text is not null and trim(text) <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    # a fixed number of parts, as few bytes of text are much work
+    distinct = distinct.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)
     if vocabulary is None:
         plain = _items("text", spec, (), 0.0)
         known = distinct.withColumn("items", plain).where(F.size("items") == 1).select(F.explode("items").alias("value"), "n").groupBy("value").agg(F.sum("n").alias("n")).where("n > 1")
         words = [r["value"] for r in known.orderBy(F.desc("n"), "value").limit(bound).collect()]
     else:
         c = vocabulary.columns[0]
-        words = [r[c] for r in vocabulary.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(bound).collect()]
+        met = distinct.groupBy(F.col("text").alias(c)).agg(F.sum("n").alias("n"))
+        known = vocabulary.where(F.col(c).isNotNull()).select(F.col(c).cast("string").alias(c)).distinct().join(met, c, "left")
+        words = [r[c] for r in known.orderBy(F.desc_nulls_last("n"), c).limit(bound).collect()]
     keys = sorted({value_key(str(w)) for w in words})
     even = math.log2(max(2, len(keys)))
     first = tuple((k, even) for k in keys)
