@@ -56,6 +56,7 @@ class Reader:
     bits: dict[str, float]
     default_bits: float | None = None  # of a value that fits the pattern but is not in the codebook
     seen: dict[str, list[str]] = field(default_factory=dict)
+    pieces: dict[str, tuple[str, float, bool]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         s = self.spec
@@ -94,6 +95,16 @@ class Reader:
             return self.default_bits, True
         return 16 + self.spec.char_bits * len(value), False
 
+    def piece(self, text: str) -> tuple[str, float, bool]:
+        """The value in a piece, its bits and whether it is known; kept, as the dialects share most pieces."""
+        got = self.pieces.get(text)
+        if got is None:
+            v = self.clean(text)
+            if len(self.pieces) > 200_000:
+                self.pieces.clear()
+            got = self.pieces[text] = (v, *self.cost(v))
+        return got
+
     def opaque(self, text: str, a: str, b: str) -> list[tuple[int, int]]:
         spans, i = [], 0
         while (i := text.find(a, i)) >= 0:
@@ -123,8 +134,7 @@ class Reader:
         for j in range(1, n + 1):
             top = None
             for i in range(max(0, j - 1 - s.most_separators), j):
-                v = self.clean(text[starts[i] : ends[j - 1]])
-                c, known = self.cost(v)
+                v, c, known = self.piece(text[starts[i] : ends[j - 1]])
                 c += best[i][0] + (s.split_bits if i else 0)
                 if top is None or c < top[0]:
                     top = (c, known and best[i][1], i, v)
