@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,19 +60,57 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot, norm(a) * norm(b))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, bound: int = 2_000, block: int = 64) -> DataFrame:
-    """query_id, vec_id, rank, cosine: the k nearest vectors of each query, exactly, without itself.
+def _nearest(sent, k: int):
+    """Best k of a partition for every query of a block, by a matrix product per Arrow batch."""
 
-    The stated queries are laid out in blocks against all vectors. Each block of vectors keeps its best k for a
-    query before the results of the blocks meet, so no query has all vectors in one task.
+    def keep(q, i, c):
+        order = np.lexsort((i, -c, q))
+        q, i, c = q[order], i[order], c[order]
+        first = np.concatenate([[0], np.flatnonzero(q[1:] != q[:-1]) + 1]) if len(q) else np.zeros(0, dtype=int)
+        size = np.diff(np.append(first, len(q)))
+        rank = np.arange(len(q)) - np.repeat(first, size)
+        return q[rank < k], i[rank < k], c[rank < k]
+
+    def run(batches):
+        ids, matrix = sent.value
+        best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        for b in batches:
+            some = b.filter(pc.is_valid(b.column(1)))
+            if not some.num_rows or not len(ids):
+                continue
+            vec = some.column(0).to_numpy(zero_copy_only=False)
+            v = np.stack(some.column(1).to_numpy(zero_copy_only=False)).astype(float)
+            norm = np.linalg.norm(v, axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                c = np.round(matrix @ v.T / norm, 6)
+            c[(ids[:, None] == vec[None, :]) | ~np.isfinite(c)] = -2.0
+            edge = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(ids), -1.5)
+            rows, cols = np.nonzero((c >= edge[:, None]) & (c > -1.5))
+            best = keep(*(np.concatenate([x, y]) for x, y in zip(best, (ids[rows], vec[cols], c[rows, cols]), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query_id", "vec_id", "cosine"])
+
+    return run
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 4_000) -> DataFrame:
+    """query_id, vec_id, rank, cosine: the k nearest vectors of each query, exactly, without itself; ties by vec_id.
+
+    The stated queries are taken in blocks of about ``block``, each of which is sent to all tasks; every partition of
+    the vectors yields its best k for each, and only those are shuffled. Vectors must have one length; null ones and zeros are near nothing.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    if not q.limit(bound + 1).count() > bound:
-        q = F.broadcast(q)
-    pairs = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(block)).alias("part")).join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "part", F.bround(cosine(F.col("q"), F.col("embedding")), 6).alias("cosine")).where("cosine is not null")
-    near = lambda by: Window.partitionBy(*by).orderBy(F.desc("cosine"), "vec_id")
-    local = pairs.withColumn("r", F.row_number().over(near(["query_id", "part"]))).where(F.col("r") <= k)
-    return local.withColumn("rank", F.row_number().over(near(["query_id"]))).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "cosine")
+    asked = queries.where(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    blocks = max(1, -(-asked.count() // block))
+    found = None
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
+        m = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), -1)
+        norm = np.linalg.norm(m, axis=1) if len(rows) else np.zeros(0)
+        full = norm > 0
+        sent = vectors.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in rows], dtype=np.int64)[full], m[full] / norm[full, None]))
+        part = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(_nearest(sent, k), "query_id bigint, vec_id bigint, cosine double")
+        found = part if found is None else found.unionByName(part)
+    near = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select("query_id", "vec_id", "rank", "cosine")
 
 
 def evaluate_retrieval(cases: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import gzip
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tesela.operators import documents as D
@@ -64,7 +65,9 @@ def test_documents_snapshots_and_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     files.upsert(spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int"), spark, path, ["k"], "t")
     files.upsert(spark.createDataFrame([(1, "c", 2), (2, "old", 0)], "k int, v string, t int"), spark, path, ["k"], "t")
-    assert {r.k: r.v for r in spark.read.parquet(path).collect()} == {1: "c", 2: "b"}
+    assert {r.k: r.v for r in files.current(spark, path).collect()} == {1: "c", 2: "b"}
+    files.upsert(spark.createDataFrame([(3, "d", 1)], "k int, v string, t int"), spark, path, ["k"], "t")
+    assert files.versions(spark, path) == [2, 3] and files.current(spark, path).count() == 3
     files.preview(spark.createDataFrame([(2, [1]), (1, [])], "k int, xs array<int>"), str(tmp_path / "p"), ["k"], 1)
     assert spark.read.csv(str(tmp_path / "p"), header=True).collect()[0].xs == "[]"
     assert files.mask_credentials("jdbc://u:secret@h/db") == "jdbc://u:***@h/db"
@@ -101,3 +104,41 @@ def test_streams(spark, tmp_path):
     q = seen.writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("firsts").count() == 2
+
+
+def test_graph_and_vector_tables(spark, tmp_path):
+    nodes = spark.createDataFrame([("contract:1", "Contract", "x")], "node_id string, node_type string, label string")
+    edges = spark.createDataFrame([("e1", "PUBLISHED")], "edge_id string, edge_type string")
+    for version in (1, 2):
+        files.upsert_graph(nodes.withColumn("label", F.lit(f"v{version}")), edges, spark, str(tmp_path / "g"), version)
+    assert [r.label for r in files.current(spark, str(tmp_path / "g/nodes")).collect()] == ["v2"] and files.current(spark, str(tmp_path / "g/edges")).count() == 1
+    with pytest.raises(ValueError, match="not accepted"):
+        files.upsert_graph(nodes.withColumn("node_type", F.lit("Person")), edges, spark, str(tmp_path / "g"), 3)
+    v = spark.createDataFrame([("a", [1.0, 2.0])], "c string, vector array<double>").select(files.point_id(F.col("c")).alias("point_id"), "vector")
+    for version in (1, 2):
+        files.upsert_vectors(v, spark, str(tmp_path / "v"), 2, version)
+    assert files.current(spark, str(tmp_path / "v")).count() == 1 and len(v.collect()[0].point_id) == 36
+    with pytest.raises(ValueError, match="3 numbers"):
+        files.upsert_vectors(v, spark, str(tmp_path / "v"), 3, 3)
+
+
+def test_reports_corpus_and_batches(spark, tmp_path):
+    files.report(spark.sql("select 1 as n, 'á' as x"), str(tmp_path / "r"), "T")
+    assert files.read_report(spark, str(tmp_path / "r/report.json")) == {"n": 1, "x": "á"} and "| n | 1 |" in (tmp_path / "r/report.md").read_text()
+    (tmp_path / "bad.json").write_text("{")
+    assert files.read_report(spark, str(tmp_path / "bad.json")) is None and files.read_report(spark, str(tmp_path / "none.json")) is None
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs/a.txt").write_text("uno")
+    (tmp_path / "index.json").write_text('{"documents": [{"path": "a.txt", "contract_key_canon": "K"}, {"path": "b.txt", "contract_key_canon": "L"}]}')
+    got = {r.relative_path: r.text for r in files.corpus(spark, str(tmp_path / "index.json"), str(tmp_path / "docs")).collect()}
+    assert got == {"a.txt": "uno", "b.txt": None}
+    urls = ["https://www.boe.es/diario_boe/txt.php?id=BOE-B-2020-123", "https://evil.example/x?id=BOE-B-2020-123", "https://boe.es/x?id=BOE-A-2020-1", None]
+    assert [r.i for r in spark.createDataFrame([(u,) for u in urls], "u string").select(files.notice_url_id(F.col("u")).alias("i")).collect()] == ["BOE-B-2020-123", None, None, None]
+    ran = []
+    sources = {"docs": str(tmp_path / "docs"), "other": str(tmp_path / "missing")}
+    run = lambda n, **kw: ingest.run_batch(spark, sources, str(tmp_path / "state"), ran.append, n, **kw)["status"]
+    assert [run("1"), run("2"), run("3", force=True), run("4", blocking=("other",))] == ["done", "unchanged", "done", "blocked"]
+    (tmp_path / "docs/a.txt").write_text("dos")
+    assert run("5") == "done" and ran == [["docs"]] * 3
+    files.sample(spark.createDataFrame([(2, "71000000 b"), (1, "71000000 a"), (0, "x")], "i int, line string"), "line", r"\b71\d{6}\b", 1, "i", str(tmp_path / "s"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "s")).collect()] == ["71000000 a"]
