@@ -18,6 +18,7 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -246,27 +247,46 @@ def _convert(texts: list[str], layout: Layout, tables: dict) -> tuple[np.ndarray
     return np.where(good, status, 4), utc * 1_000_000 + us, days
 
 
+def parse_days(values: list, tables: dict) -> np.ndarray:
+    """The written day of each text as days since 1970, NaN where there is none: what parse_texts gives, without the other forms."""
+    out = np.full(len(values), np.nan)
+    for mask, at, texts in _by_mask(values):
+        status, _, days = _best(mask, texts, tables)
+        out[at] = np.where(status == 4, np.nan, days)
+    return out
+
+
+def _by_mask(values: list) -> list[tuple[str, list[int], list[str]]]:
+    """Mask, places and stripped texts of the values that are not blank."""
+    groups: dict[str, tuple[list[int], list[str]]] = {}
+    for i, v in enumerate(values):
+        if v is None or not (s := v.strip()):
+            continue
+        at, texts = groups.setdefault(mask_of(s) if len(s) <= LONGEST else "", ([], []))
+        at.append(i)
+        texts.append(s)
+    return [(mask, at, texts) for mask, (at, texts) in groups.items()]
+
+
+def _best(mask: str, texts: list[str], tables: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Status, microseconds and days of texts of one mask, by the first layout that each fits."""
+    best = np.full(len(texts), 4, dtype=np.int64)
+    us, days = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    for layout in layouts(mask) if mask else ():
+        st, u, dd = _convert(texts, layout, tables)
+        new = (best == 4) & (st != 4)
+        best, us, days = np.where(new, st, best), np.where(new, u, us), np.where(new, dd, days)
+        if (best != 4).all():
+            break
+    return best, us, days
+
+
 def parse_texts(values: list, tables: dict) -> tuple[list, list, list, list]:
     """Kind, normal form, microseconds and day of each text; all None for null and blank texts."""
     n = len(values)
     kind, normal, instant, day = [None] * n, [None] * n, [None] * n, [None] * n
-    groups: dict[str, list[int]] = {}
-    stripped = [None] * n
-    for i, v in enumerate(values):
-        if v is None or not (s := v.strip()):
-            continue
-        stripped[i] = s
-        groups.setdefault(mask_of(s) if len(s) <= LONGEST else "", []).append(i)
-    for mask, at in groups.items():
-        best = np.full(len(at), 4, dtype=np.int64)
-        us, days = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-        texts = [stripped[i] for i in at]
-        for layout in layouts(mask) if mask else ():
-            st, u, dd = _convert(texts, layout, tables)
-            new = (best == 4) & (st != 4)
-            best, us, days = np.where(new, st, best), np.where(new, u, us), np.where(new, dd, days)
-            if (best != 4).all():
-                break
+    for mask, at, texts in _by_mask(values):
+        best, us, days = _best(mask, texts, tables)
         iso_day = np.datetime_as_string(days.astype("datetime64[D]"), unit="D")
         iso_us = np.datetime_as_string((us // 1_000_000).astype("datetime64[s]"), unit="s")
         for j, i in enumerate(at):
@@ -298,3 +318,14 @@ def normalise_timestamp(column: Column) -> Column:
         return pd.DataFrame({"kind": pd.Series(kind, dtype=object), "normal": pd.Series(normal, dtype=object), "instant_us": pd.Series(instant, dtype="Int64"), "day": pd.Series(day, dtype="Int32")})
 
     return convert(column.cast("string"))
+
+
+def day_number(column: Column) -> Column:
+    """The ``day`` of normalise_timestamp alone, at a lower cost."""
+    tables = zone_tables()
+
+    @F.arrow_udf("int")
+    def days(a: pa.Array) -> pa.Array:
+        return pa.array(parse_days(a.to_pylist(), tables), pa.int32(), from_pandas=True)
+
+    return days(column.cast("string"))

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tesela.functions.timestamps import layouts, mask_of, normalise_timestamp, parse_texts, zone_tables
+from tesela.functions.timestamps import day_number, layouts, mask_of, normalise_timestamp, parse_texts, zone_tables
 
 TABLES = zone_tables()
 CASES = [
@@ -60,3 +60,10 @@ def test_column_with_nulls_empty_and_clashes(spark):
 def test_years_beyond_the_tables():
     kind, normal, _, _ = parse_texts(["15/07/2500 12:00", "15/01/2500 12:00", "27/03/2438 02:30", "9999-07-01 00:00:00", "15/07/1905 12:00"], zone_tables())
     assert normal[:2] == ["2500-07-15T10:00:00Z", "2500-01-15T11:00:00Z"] and normal[3] == "9999-06-30T22:00:00Z" and kind[4] == "instant"
+
+
+def test_days_alone(spark):
+    texts = ["15/07/2020", "2020-07-15T23:30:00+02:00", "31/02/2020", " ", None, "29/03/2020 02:30", "1594332000", "x" * 100]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(day_number(F.col("t")).alias("d"), normalise_timestamp(F.col("t"))["day"].alias("e")).collect()
+    assert [r.d for r in got] == [r.e for r in got] and got[0].d == 18458
