@@ -372,9 +372,9 @@ def doc_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return D.manifest(table(spark, sf, "documents"))
 
 
-@query()
+@query("select doc_id, cast(i as int) as dim, ('0x' || substr(sha256(coalesce(text, '')), 2 * i + 1, 2))::int / 127.5 - 1 as value from documents, range(16) r(i)")
 def doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", D.hash_vector(F.col("text")).alias("v"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(D.hash_vector(F.col("text"))).alias("dim", "value"))
 
 
 @query(f"with {_CHUNKS} select doc_id || ':' || chunk_index as chunk_id, (contains(lower(text), 'garantía')::int + contains(lower(text), 'contrato')::int + contains(lower(text), 'plazo')::int + contains(lower(text), 'obra')::int) / 4 as score from chunks where score > 0 order by score desc, chunk_id limit 5")

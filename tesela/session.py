@@ -49,14 +49,28 @@ def cut(df: DataFrame) -> DataFrame:
     return stage_table(df, "cut")
 
 
+def _staged(spark: SparkSession) -> str:
+    """Folder of the tables that this application has staged."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{spark.sparkContext.applicationId}"
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: columnar, so later scans prune columns."""
+    """Write df once to the shared folder and read it back: columnar, so later scans prune columns.
+
+    Results that are still to be read depend on it, so it stays until clear_staged() or the end of the application.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_staged(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> bool:
+    """Delete all tables that this application has staged; whether there were any. For use once its results have been read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staged(spark))
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,11 +11,12 @@ import pytest  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from tesela.session import local_session
+    from tesela.session import clear_staged, local_session
 
     s = local_session("4", "4")
     s.sparkContext.setCheckpointDir("file://" + str(tmp_path_factory.mktemp("checkpoints")))
     yield s
+    clear_staged(s)
     s.stop()
 
 
