@@ -99,12 +99,6 @@ def tender_counts(contracts: DataFrame) -> DataFrame:
     return contracts.where(~T.blank(F.col("source_tender_id"))).groupBy("source_tender_id").agg(F.count(F.lit(1)).alias("records"), F.count_distinct(supplier).alias("suppliers"))
 
 
-def distribution(df: DataFrame, value: str, by: str) -> DataFrame:
-    v = F.col(value)
-    p = F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))")
-    return df.where(v.isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("min"), p[0].alias("q1"), p[1].alias("median"), p[2].alias("q3"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
-
-
 def monthly(contracts: DataFrame) -> DataFrame:
     day = tolerant_date(F.col("publication_date"))
     return contracts.where(day.isNotNull()).groupBy(F.date_format(F.date_trunc("month", day), "yyyy-MM").alias("month")).agg(F.count_distinct("contract_key_canon").alias("contracts"), F.bround(F.avg("awarded_value_eur"), 2).alias("mean_amount"))

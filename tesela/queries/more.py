@@ -293,11 +293,6 @@ def agg_category_frequency(spark: SparkSession, sf: str) -> DataFrame:
     return R.category_frequency(contracts(spark, sf), "procedure", list(_KNOWN))
 
 
-@query(SQL["agg_distribution"])
-def agg_spread(spark: SparkSession, sf: str) -> DataFrame:
-    return R.spread(contracts(spark, sf), "awarded_value_eur", "load_id")
-
-
 @query("with a as (select source_file as k, count(*) as n from boe_records group by 1), b as (select source_file as k, count(*) as n from boe_lines group by 1) select k as source_file, case when a.n is null then 'new' when b.n is null then 'gone' when a.n = b.n then 'same' else 'changed' end as state from a full join b using (k)")
 def jon_changed_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Files of the gazette by their number of loaded records and of raw lines."""
