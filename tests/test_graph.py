@@ -126,3 +126,17 @@ def test_a_hub_and_groups_of_equal_size(spark):
     groups = G.sized_groups(G.components(frame(spark, pairs)), "component")
     got = {r.node_id: r.group_id for r in groups.collect()}
     assert got["h"] == 0 and [got[f"x{i}"] for i in sorted(range(20), key=str)] == list(range(1, 21))
+
+
+def test_betweenness_of_a_whole_graph_per_task_is_that_of_the_joins(spark):
+    pairs = frame(spark, [*random_pairs(7, 60, 150), *[(f"p{i:02d}", f"p{i + 1:02d}") for i in range(2)], *[("hub", f"q{i:03d}") for i in range(200)]])
+    packed = {r.node_id: r.betweenness for r in G.betweenness(pairs, pivots=12, exact=10).collect()}
+    joined = {r.node_id: r.betweenness for r in G.betweenness(pairs, pivots=12, exact=10, packed_edges=0).collect()}
+    assert set(packed) == set(joined) and all(abs(packed[v] - joined[v]) < 1e-9 for v in joined) and any(joined.values())
+
+
+def test_betweenness_of_many_pivots_has_no_row_per_pivot_and_node(spark, monkeypatch):
+    monkeypatch.setattr(G, "_joined_dependencies", None)
+    pairs = [(f"s{i % 3}", f"c{i:04d}") for i in range(3000)] + [(f"b{i % 400:03d}", f"c{i:04d}") for i in range(3000)]
+    got = {r.node_id: r.betweenness for r in G.betweenness(frame(spark, pairs)).collect()}
+    assert len(got) == 3403 and max(got, key=got.get) in ("s0", "s1", "s2")
