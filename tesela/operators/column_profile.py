@@ -13,13 +13,14 @@ import math
 import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesela.session import stage_table
 
 MISSING = ("", "-", "n/d", "no disponible")
-#: Most shapes that reach the driver; the rows of rarer ones are counted as nonconforming.
+#: Shapes up to which all reach the driver; of more, those that no expression of their own pays for are added up by their open form.
 SHAPE_BOUND = 10_000
 
 
@@ -56,19 +57,46 @@ def _value_bits(s: str) -> float:
     return sum(math.log2(_SIZE.get(c, 1)) for c in s)
 
 
-def induce(shapes: dict[str, int]) -> list[Expression]:
+def _open(pieces: list[tuple[str, int]]) -> tuple:
+    return tuple((c, "+" if c in _SIZE else n) for c, n in pieces)
+
+
+def _twin(s: str) -> tuple[str, tuple] | None:
+    """The shape with the other one of capital letter and digit at its end, and the pieces that fit both."""
+    if s and s[-1] in "A9":
+        return s[:-1] + ("9" if s[-1] == "A" else "A"), (*_pieces(s[:-1]), ("X", 1))
+    return None
+
+
+_TWIN_BITS = math.log2(36) - 0.5 * math.log2(260)
+
+
+def _gain(s: str) -> float:
+    """Bits that a value of the shape saves over 7 a character, before the share of its expression."""
+    return 7 * len(s) - _value_bits(s)
+
+
+def _most_bits(members: list[tuple[int, float]], extra: float, regex: str, total: int) -> float:
+    """Bits that an expression for members (rows, gain of each) saves at most, whichever of them are left."""
+    share = math.log2(sum(n for n, _ in members) / total)
+    return sum(n * max(0.0, gain - extra + share) for n, gain in members) - 8 * len(regex)
+
+
+def induce(shapes: dict[str, int], rest: list[tuple[str, tuple, int, float]] = (), total: int | None = None) -> list[Expression]:
     """Expressions for counted shapes by minimum description length.
 
     Candidates are each shape itself, shapes whose last class may be a letter or a digit where both occur, and
     shapes with open lengths. Greedily, the candidate that saves most is kept while it saves anything. Coding
-    a value without an expression takes 7 bits a character.
+    a value without an expression takes 7 bits a character. rest: further shapes that only an open form can
+    be worth it for, added up by it: the first of them, the pieces of the form, rows, sum of gains. total: all rows.
     """
-    total = sum(shapes.values())
+    total = total or sum(shapes.values())
     if not total:
         return []
-    candidates: dict[str, tuple[float, set[str]]] = {}
+    candidates: dict[str, tuple[float, set]] = {}
+    left = {s: (n, n * _gain(s)) for s, n in shapes.items()}
 
-    def offer(pieces: tuple, members: set[str], bits) -> None:
+    def offer(pieces: tuple, members: set, bits) -> None:
         regex = _regex(pieces)
         if regex not in candidates:
             candidates[regex] = (bits, set())
@@ -77,19 +105,21 @@ def induce(shapes: dict[str, int]) -> list[Expression]:
     for s in shapes:
         p = _pieces(s)
         offer(tuple(p), {s}, 0.0)
-        if s and s[-1] in "A9":
-            twin = s[:-1] + ("9" if s[-1] == "A" else "A")
-            if twin in shapes:
-                offer((*_pieces(s[:-1]), ("X", 1)), {s, twin}, math.log2(36) - 0.5 * math.log2(260))
-        offer(tuple((c, "+" if c in _SIZE else n) for c, n in p), {s}, 4.0 * len(p))
-    left, kept = dict(shapes), []
+        if (t := _twin(s)) and t[0] in shapes:
+            offer(t[1], {s, t[0]}, _TWIN_BITS)
+        offer(_open(p), {s}, 4.0 * len(p))
+    for first, pieces, rows, gain in rest:
+        left[(first,)] = (rows, gain)
+        offer(pieces, {(first,)}, 4.0 * len(pieces))
+    kept = []
     while left and candidates:
         best = None
         for regex, (extra, members) in candidates.items():
-            rows = sum(left.get(m, 0) for m in members)
+            of = [left[m] for m in members if m in left]
+            rows = sum(n for n, _ in of)
             if not rows:
                 continue
-            saved = sum(left.get(m, 0) * (7 * len(m) - _value_bits(m) - extra + math.log2(rows / total)) for m in members) - 8 * len(regex)
+            saved = sum(gain for _, gain in of) + rows * (math.log2(rows / total) - extra) - 8 * len(regex)
             if best is None or saved > best[0]:
                 best = (saved, regex, rows, members)
         if best is None or best[0] <= 0:
@@ -107,9 +137,51 @@ def value_counts(df: DataFrame, load: str, column: Column) -> DataFrame:
 
 
 def column_expressions(counts: DataFrame, bound: int = SHAPE_BOUND) -> list[Expression]:
-    """Expressions induced from all distinct values of counts(v, n)."""
-    shapes = counts.where(F.col("v").isNotNull()).groupBy(shape(F.col("v")).alias("s")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s").limit(bound)
-    return induce({r["s"]: r["n"] for r in shapes.collect()})
+    """Expressions induced from all distinct values of counts(v, n), however many shapes they have."""
+    shapes = counts.where(F.col("v").isNotNull()).groupBy(shape(F.col("v")).alias("s")).agg(F.sum("n").alias("n"))
+    few = shapes.limit(bound + 1).collect()
+    if len(few) <= bound:
+        return induce({r["s"]: r["n"] for r in sorted(few, key=lambda r: (-r["n"], r["s"]))})
+    return _induce_many(stage_table(shapes, "shapes"))
+
+
+def _induce_many(shapes: DataFrame) -> list[Expression]:
+    """induce() of any number of shapes(s, n), with the same expressions.
+
+    A candidate whose members save nothing, whichever of them are left, is never kept. The driver gets the shapes
+    whose own expression or that with their twin may be, one by one; the rest are added up by open form, and
+    only the open forms that may be kept are sent.
+    """
+    total = shapes.agg(F.sum("n")).collect()[0][0]
+
+    def forms(batches):
+        for b in batches:
+            out = []
+            for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                p = _pieces(s)
+                t = _twin(s)
+                alone = _most_bits([(n, _gain(s))], 0.0, _regex(tuple(p)), total) > 0
+                out.append((s, n, _gain(s), alone, _regex(t[1]) if t else None, _regex(_open(p)), 4.0 * len(p)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names=names)
+
+    names, kinds = ["s", "n", "gain", "alone", "twin", "open", "extra"], [pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.string(), pa.string(), pa.float64()]
+    each = stage_table(shapes.select("s", F.col("n").cast("bigint").alias("n")).mapInArrow(forms, "s string, n bigint, gain double, alone boolean, twin string, open string, extra double"), "forms")
+
+    def worth(by: str, extra: Column) -> DataFrame:
+        """The forms of column ``by`` that may save bits, and their members."""
+        share = F.log2(F.col("rows") / F.lit(total))
+        sums = each.where(F.col(by).isNotNull()).groupBy(by).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("members"))
+        most = F.sum(F.col("n") * F.greatest(F.lit(0.0), F.col("gain") - extra + share)) - 8 * F.length(by)
+        return each.join(sums, by).groupBy(by).agg(most.alias("most"), F.max("members").alias("members")).where(F.col("most") > -1e-6)
+
+    twins = worth("twin", F.lit(_TWIN_BITS)).where("members = 2").select("twin", F.lit(True).alias("paired"))
+    opens = worth("open", F.col("extra")).select("open", F.lit(True).alias("opened"))
+    marked = each.join(twins, "twin", "left").join(opens, "open", "left").withColumn("own", F.col("alone") | F.col("paired").isNotNull())
+    heads = {r["s"]: r["n"] for r in marked.where("own").select("s", "n").collect()}
+    first = F.min(F.struct((-F.col("n")).alias("n"), F.col("s"))).alias("first")
+    sums = marked.where("not own and opened").groupBy("open").agg(first, F.sum("n").alias("n"), F.sum(F.col("n") * F.col("gain")).alias("gain")).collect()
+    rest = [(r["first"]["s"], _open(_pieces(r["first"]["s"])), r["n"], r["gain"]) for r in sorted(sums, key=lambda r: r["first"])]
+    return induce(dict(sorted(heads.items(), key=lambda x: (-x[1], x[0]))), rest, total)
 
 
 NO_EXPRESSION = "none"

@@ -4,7 +4,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from tesela.operators.column_profile import column_expressions, expression_coverage, findings, induce, load_coverage, load_profile, medians, value_counts
+from tesela.operators.column_profile import column_expressions, expression_coverage, findings, induce, load_coverage, load_profile, medians, shape, value_counts
 
 PROCEDURES = ("abierto", "menor")
 FORM = "[A-Z][0-9]{7}[A-Z0-9]|[0-9]{8}[A-Z]"
@@ -65,3 +65,14 @@ def test_coverage_between_loads(spark):
     r = got[2, usual]
     assert (r.column_name, r.n_rows, r.share, r.other_share) == ("v", 30, 0.6, 1.0) and abs(r.change + 0.4) < 1e-9
     assert load_coverage(spark.createDataFrame([], "load_id int, v string"), "load_id", ["v"]).count() == 0
+
+
+def test_expressions_of_any_number_of_shapes_are_those_of_all(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(3, 12)))
+    values = [f"{word()} {word()} {word()}" for _ in range(900)] + [f"B{rng.randint(0, 9999999):07d}{rng.choice('AZ19')}" for _ in range(60)] + [f"!{i}" + "?" * i for i in range(40)] + ["Ñandú", "a\nb"]
+    counts = spark.createDataFrame([(1, v, 1 + i % 3) for i, v in enumerate(values)], "load_id int, v string, n long")
+    shapes = {r.s: r.n for r in counts.groupBy(shape(F.col("v")).alias("s")).agg(F.sum("n").alias("n")).collect()}
+    want = [(e.regex, e.rows, round(e.saved_bits, 6)) for e in induce(dict(sorted(shapes.items(), key=lambda x: (-x[1], x[0]))))]
+    got = [(e.regex, e.rows, round(e.saved_bits, 6)) for e in column_expressions(counts, bound=20)]
+    assert len(shapes) > 500 and got == want and ("[a-z]+\\ [a-z]+\\ [a-z]+", sum(1 + i % 3 for i in range(900))) in [x[:2] for x in want]
